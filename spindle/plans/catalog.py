@@ -352,3 +352,210 @@ def q_topic_fit(spark, sf_dir):
     emb = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     cents, model, feats = tp.fit_topics(emb, "embedding", k=10, seed=7)
     return model.transform(feats).select("vec_id", F.col("topic_id").cast("int").alias("topic_id"))
+
+
+# ---------------------------------------------------------------- enrichment and results
+
+from spindle.config import LENGTH_LIMITS  # noqa: E402,F401
+from spindle.plans.common import enriched_backlog  # noqa: E402
+from spindle.sinks import ledger as lg  # noqa: E402
+from spindle.sinks import results as rs  # noqa: E402
+
+
+def _ranking(c):
+    return F.array_join(F.transform(c, lambda x: x["label"]), ",")
+
+
+@register("enrich_documents")
+def q_enrich_documents(spark, sf_dir):
+    """UDF-6/PRJ-3: full analysis of every valid backlog document (flagship)."""
+    e = enriched_backlog(spark, sf_dir)
+    t = F.get(F.col("assigned_topics"), 0)
+    return e.select(
+        "id", "raw_mongo_id", "source", ts_text("original_timestamp").alias("original_timestamp"),
+        "retrieved_by_keyword", "keyword_concept_id", "original_keyword_language", "detected_language",
+        _ranking(F.col("overall_sentiment")).alias("sentiment_ranking"),
+        r6(F.get(F.col("overall_sentiment"), 0)["score"]).alias("top_score"),
+        t["id"].alias("topic_id"), t["name"].alias("topic_name"), r6(t["probability"]).alias("topic_probability"),
+        F.size(t["keywords"]).alias("n_topic_terms"),
+        F.size("extracted_keywords_frequency").alias("n_keywords"),
+        F.array_join(F.transform("extracted_keywords_frequency", lambda k: F.concat(k["keyword"], F.lit(":"), k["frequency"].cast("string"))), " ").alias("keywords_text"),
+        _ranking(F.col("sentiment_on_extracted_keywords_summary")).alias("summary_ranking"),
+        r6(F.get(F.col("sentiment_on_extracted_keywords_summary"), 0)["score"]).alias("summary_top_score"),
+        F.coalesce(F.size("analysis_errors"), F.lit(0)).alias("n_errors"),
+    )
+
+
+@register("analysis_errors")
+def q_analysis_errors(spark, sf_dir):
+    """AGG-8: per-document error list, with and without a loaded topic model."""
+    full = enriched_backlog(spark, sf_dir).select(F.lit("full").alias("variant"), "id", "analysis_errors")
+    bare = enriched_backlog(spark, sf_dir, with_topics=False).select(F.lit("no_topic_model").alias("variant"), "id", "analysis_errors")
+    return full.unionByName(bare).select(
+        "variant", "id", F.coalesce(F.size("analysis_errors"), F.lit(0)).alias("n_errors"),
+        F.array_join("analysis_errors", " | ").alias("errors"),
+    )
+
+
+@register("export_rows")
+def q_export_rows(spark, sf_dir):
+    """PRJ-4/SC-2: result rows in the relational export form (JSON text, empty lists NULL)."""
+    rows = rs.result_rows(enriched_backlog(spark, sf_dir), batch_id=1)
+    ex = rs.export_rows(rs.upsert(None, rows))
+    return ex.select(
+        "raw_mongo_id", "nlp_model_version", "signal_extraction_status",
+        F.length("overall_sentiment").alias("sentiment_json_chars"),
+        F.length("assigned_topics").alias("topics_json_chars"),
+        F.col("extracted_keywords_frequency").alias("keywords_json"),
+        F.col("analysis_errors").isNull().cast("int").alias("errors_null"),
+    )
+
+
+@register("dedupe_latest")
+def q_dedupe_latest(spark, sf_dir):
+    """WIN-3: last write wins per business key (oldest first, NULL times last, then id)."""
+    v = valid_backlog(spark, sf_dir).select("raw_mongo_id", "id", "original_timestamp")
+    d = rs.latest_per_key(v)
+    return d.select("raw_mongo_id", "id", ts_text("original_timestamp").alias("original_timestamp"))
+
+
+def _results_fixture(spark, sf_dir):
+    """Result table after a first pass over the valid backlog, then a downstream consumer that
+    marked the rows it already handled (original time before February 2024)."""
+    rows = rs.result_rows(enriched_backlog(spark, sf_dir), batch_id=1)
+    table = rs.upsert(None, rows)
+    handled = F.col("original_timestamp") < F.lit("2024-02-01 00:00:00").cast("timestamp")
+    return table.withColumn(
+        "signal_extraction_status", F.when(handled, F.lit("extracted")).otherwise(F.col("signal_extraction_status"))
+    )
+
+
+@register("upsert_results")
+def q_upsert_results(spark, sf_dir):
+    """SNK-1/JN-1: second pass re-sends the rows awaiting store verification; they replace
+    their keys (downstream status reset to pending), every other key is kept."""
+    old = _results_fixture(spark, sf_dir)
+    vb = valid_backlog(spark, sf_dir)
+    feed = doc_feed(spark, sf_dir).select("id", "nlp_status")
+    resend = vb.join(feed.where(F.col("nlp_status") == "pending_nlp_store_verification").select("id"), "id", "left_semi")
+    from spindle.operators.enrich import enrich
+    from spindle.plans.common import fixture_models
+
+    new = rs.result_rows(enrich(resend, fixture_models(spark, sf_dir)), batch_id=2)
+    merged = rs.upsert(old, new)
+    return merged.select(
+        "raw_mongo_id", "source_id", "batch_id", "signal_extraction_status",
+        F.size("extracted_keywords_frequency").alias("n_keywords"),
+    )
+
+
+# ------------------------------------------------------------ status ledger (two passes)
+
+from spindle.config import STATUS_COMPLETED, STATUS_FAILED, STATUS_STORE_UNVERIFIED  # noqa: E402
+
+FAILED_STORE_BATCH = 2  # the batch whose result store fails in the first pass
+
+
+def _pass1(spark, sf_dir):
+    """First pass over the whole backlog in daily batches (batch = day of the original time,
+    NULL times in the last batch); the store of batch 2 fails."""
+    v = validated_backlog(spark, sf_dir)
+    day = F.floor((F.unix_timestamp("original_timestamp") - F.unix_timestamp(F.lit("2024-01-01 00:00:00").cast("timestamp"))) / 86400)
+    batch = F.coalesce(day + 1, F.lit(1000)).cast("long")
+    v = v.withColumn("batch_id", batch)
+    status = lg.outcome_status(F.col("is_valid"), F.col("batch_id") != FAILED_STORE_BATCH)
+    ts = F.lit("2024-06-01 00:00:00").cast("timestamp") + F.make_dt_interval(F.lit(0), F.lit(0), F.col("batch_id").cast("int"))
+    return lg.status_entries(v, status, ts, F.col("batch_id"))
+
+
+def _pass2(spark, sf_dir, log1):
+    """Retry pass: rows still eligible after the first pass, all stored."""
+    src = lg.with_current_status(doc_feed(spark, sf_dir), log1)
+    retry = validate(normalize(eligible(src)))
+    status = lg.outcome_status(F.col("is_valid"), F.lit(True))
+    ts = F.lit("2024-07-01 00:00:00").cast("timestamp")
+    return lg.status_entries(retry, status, ts, 2000)
+
+
+@register("outcome_status")
+def q_outcome_status(spark, sf_dir):
+    """JN-2/STR-5: status of every processed row from its validation and its batch's store."""
+    return _pass1(spark, sf_dir).select("id", "nlp_status", "batch_id")
+
+
+@register("outcome_counts")
+def q_outcome_counts(spark, sf_dir):
+    """AGG-3: evaluated / succeeded / failed per batch of the first pass."""
+    return _pass1(spark, sf_dir).groupBy("batch_id").agg(
+        F.count(F.lit(1)).alias("evaluated"),
+        F.count_if(F.col("nlp_status") != STATUS_FAILED).alias("succeeded"),
+        F.count_if(F.col("nlp_status") == STATUS_FAILED).alias("failed"),
+        F.count_if(F.col("nlp_status") == STATUS_STORE_UNVERIFIED).alias("store_unverified"),
+    )
+
+
+@register("status_update")
+def q_status_update(spark, sf_dir):
+    """SNK-2/FLT-3: ids marked per (batch, status), restricted to ids present in the source."""
+    entries = lg.mark(_pass1(spark, sf_dir), doc_feed(spark, sf_dir).select("id"))
+    return entries.groupBy("batch_id", "nlp_status").agg(F.count(F.lit(1)).alias("updated"))
+
+
+@register("backlog_with_log")
+def q_backlog_with_log(spark, sf_dir):
+    """JN-6: source rows with the latest logged status after the first pass."""
+    cur = lg.with_current_status(doc_feed(spark, sf_dir), _pass1(spark, sf_dir))
+    return cur.select("id", "nlp_status", ts_text("nlp_status_timestamp").alias("nlp_status_timestamp"))
+
+
+@register("retry_backlog")
+def q_retry_backlog(spark, sf_dir):
+    """STR-4: what is still eligible after the first pass (store-unverified and untouched rows)."""
+    cur = lg.with_current_status(doc_feed(spark, sf_dir), _pass1(spark, sf_dir))
+    return eligible(cur).select("id", "nlp_status")
+
+
+@register("latest_status")
+def q_latest_status(spark, sf_dir):
+    """AGG-4: latest status per id over both passes of the ledger."""
+    log1 = _pass1(spark, sf_dir)
+    log = log1.unionByName(_pass2(spark, sf_dir, log1))
+    last = lg.latest_status(log)
+    return last.select("id", "nlp_status", "batch_id", ts_text("nlp_status_timestamp").alias("nlp_status_timestamp"))
+
+
+# ---------------------------------------------------------------- access paths
+
+
+@register("results_by_topic")
+def q_results_by_topic(spark, sf_dir):
+    """ACC-1: results that contain topic 1."""
+    t = _results_fixture(spark, sf_dir)
+    hit = t.where(F.exists("assigned_topics", lambda x: x["id"] == 1))
+    return hit.select("raw_mongo_id", r6(F.get(F.col("assigned_topics"), 0)["probability"]).alias("probability"))
+
+
+@register("signal_queue")
+def q_signal_queue(spark, sf_dir):
+    """ACC-2: head of the downstream queue, the 100 oldest results still 'pending'."""
+    t = _results_fixture(spark, sf_dir).where(F.col("signal_extraction_status") == "pending")
+    head = t.orderBy(F.col("original_timestamp").asc_nulls_last(), F.col("raw_mongo_id")).limit(100)
+    return head.select("raw_mongo_id", ts_text("original_timestamp").alias("original_timestamp"))
+
+
+@register("results_by_time")
+def q_results_by_time(spark, sf_dir):
+    """ACC-3: results with an original time in [2024-01-10, 2024-01-20)."""
+    t = _results_fixture(spark, sf_dir)
+    lo, hi = F.lit("2024-01-10 00:00:00").cast("timestamp"), F.lit("2024-01-20 00:00:00").cast("timestamp")
+    r = t.where((F.col("original_timestamp") >= lo) & (F.col("original_timestamp") < hi))
+    return r.select("raw_mongo_id", ts_text("original_timestamp").alias("original_timestamp"), "source")
+
+
+@register("results_by_concept")
+def q_results_by_concept(spark, sf_dir):
+    """ACC-4: results of one keyword concept, and one business key."""
+    t = _results_fixture(spark, sf_dir)
+    concept = "c" * 23 + "5"
+    r = t.where((F.col("keyword_concept_id") == concept) | (F.col("raw_mongo_id") == F.lpad(F.lit("42"), 24, "0")))
+    return r.select("raw_mongo_id", "keyword_concept_id", "retrieved_by_keyword")

@@ -33,3 +33,25 @@ def validated_backlog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def valid_backlog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validated_backlog(spark, sf_dir).where(F.col("is_valid"))
+
+
+def fixture_models(spark: SparkSession, sf_dir: str, labels: list[str] | None = None, with_topics: bool = True):
+    """Side tables derived from the given tables, standing in for the model artefacts."""
+    from spindle.config import DEFAULT_LABELS
+    from spindle.operators.enrich import Models
+    from spindle.operators.topics import topic_catalog, topic_terms
+    from spindle.sources import fixtures as fx
+
+    labels = labels or DEFAULT_LABELS
+    lex = fx.label_lexicon(spark, sf_dir, size=500)
+    if not with_topics:
+        return Models(lex, None, None, labels, lexicon_rows_bound=500)
+    terms = topic_terms(fx.lang_topics(spark, sf_dir), top=10).cache()
+    cat = topic_catalog(terms, fx.topic_info(spark))
+    return Models(lex, terms, cat, labels, lexicon_rows_bound=500)
+
+
+def enriched_backlog(spark: SparkSession, sf_dir: str, with_topics: bool = True) -> DataFrame:
+    from spindle.operators.enrich import enrich
+
+    return enrich(valid_backlog(spark, sf_dir), fixture_models(spark, sf_dir, with_topics=with_topics))

@@ -279,3 +279,100 @@ va as (select b.vec_id, cast(case when b.cos >= 0.15 then b.topic_id else -1 end
 SQL["topic_assign"] = f"with {CENTROIDS} select vec_id, topic_id, round(probability,6) probability, round(best_cosine,6) best_cosine from va"
 SQL["topic_probability"] = f"with {CENTROIDS} select vec_id, round(probability,6) max_probability from va"
 SQL["topic_centroids"] = f"""with {CENTROIDS} select cast(topic_id as int) topic_id, cast(d - 1 as int) dim, round(m,6) value from cd"""
+
+
+def topic_text(src: str) -> str:
+    return TOPIC_TEXT.replace("docs as (select id, cleaned_text from feed)", f"docs as (select id, cleaned_text from {src})")
+
+
+# ---------------------------------------------------------------- enrichment and results
+
+KWTEXT = """
+kwtext as (select id, string_agg(keyword || ':' || cast(frequency as varchar), ' ' order by rank) kwtext from kw group by id)"""
+
+ENRICH = f"""{BASE},{KW},{KWTEXT},{LEXICON},{TOPIC_TERMS},{TOPIC_INFO},{topic_text('valid')},
+stext as (select id*2 sid, cleaned_text t from valid union all select id*2+1, summary from kwsum),
+{lexicon_scores(LABELS, src='stext', key='sid', text='t')},
+sent as (select id // 2 did, id % 2 slot, string_agg(label, ',' order by rank) ranking, max(score) top from rk group by id)"""
+
+SQL["enrich_documents"] = f"""{ENRICH}
+select v.id, v.raw_mongo_id, v.source, {ts('v.original_timestamp')} original_timestamp, v.retrieved_by_keyword,
+ v.keyword_concept_id, v.keyword_language original_keyword_language, v.detected_language,
+ case when {nonblank('v.cleaned_text')} then coalesce(s0.ranking, '') else '' end sentiment_ranking,
+ round(s0.top, 6) top_score,
+ a.topic_id, {display_name('a.topic_id', 'cat.stored_name', 'coalesce(cat.terms, [])')} topic_name,
+ round(a.probability, 6) topic_probability, cast(len(coalesce(cat.terms, [])) as int) n_topic_terms,
+ cast(ks.n_keywords as int) n_keywords, coalesce(kt.kwtext, '') keywords_text,
+ case when ks.n_keywords > 0 and {nonblank('ks.summary')} then coalesce(s1.ranking, '') end summary_ranking,
+ round(s1.top, 6) summary_top_score, 0 n_errors
+from valid v join kwsum ks using (id) left join kwtext kt using (id)
+ left join sent s0 on s0.did = v.id and s0.slot = 0 left join sent s1 on s1.did = v.id and s1.slot = 1
+ left join assigned a on a.id = v.id left join cat on cat.topic_id = a.topic_id"""
+
+SQL["analysis_errors"] = f"""{BASE}
+select 'full' variant, id, 0 n_errors, cast(null as varchar) errors from valid
+union all
+select 'no_topic_model', id, 1, 'BERTopic model is not loaded, skipping topic modeling.' from valid"""
+
+LATEST_BY_KEY = "qualify row_number() over (partition by raw_mongo_id order by original_timestamp desc nulls first, id desc) = 1"
+
+SQL["dedupe_latest"] = f"""{BASE}
+select raw_mongo_id, id, {ts('original_timestamp')} original_timestamp from valid {LATEST_BY_KEY}"""
+
+RESTAB = f"""{BASE},{KW},{TOPIC_TERMS},{topic_text('valid')},
+res as (select v.*, ks.n_keywords, a.topic_id, a.probability from valid v join kwsum ks using (id)
+        left join assigned a using (id) {LATEST_BY_KEY}),
+restab as (select *, case when original_timestamp < timestamp '2024-02-01 00:00:00' then 'extracted' else 'pending' end
+           signal_extraction_status from res)"""
+
+SQL["upsert_results"] = f"""{RESTAB},
+newd as (select id, raw_mongo_id from valid where nlp_status = 'pending_nlp_store_verification' {LATEST_BY_KEY})
+select raw_mongo_id, id source_id, cast(1 as bigint) batch_id, signal_extraction_status, cast(n_keywords as int) n_keywords
+from restab where raw_mongo_id not in (select raw_mongo_id from newd)
+union all
+select n.raw_mongo_id, n.id, cast(2 as bigint), 'pending', cast(ks.n_keywords as int) from newd n join kwsum ks using (id)"""
+
+# ---------------------------------------------------------------- ledger
+
+PASS1 = f"""{BASE},
+p1 as (select id,
+  case when len(reasons) > 0 then 'failed_nlp_analysis' when batch_id = 2 then 'pending_nlp_store_verification'
+       else 'completed' end nlp_status,
+  timestamp '2024-06-01 00:00:00' + to_minutes(cast(batch_id as int)) nlp_status_timestamp, batch_id
+ from (select *, cast(coalesce(floor(date_diff('second', timestamp '2024-01-01 00:00:00', original_timestamp) / 86400) + 1, 1000) as bigint) batch_id
+       from backlog) where id is not null),
+l1 as (select * from p1 qualify row_number() over (partition by id order by nlp_status_timestamp desc, batch_id desc) = 1),
+cur as (select f.id, coalesce(l1.nlp_status, f.nlp_status) nlp_status,
+        case when l1.nlp_status is not null then l1.nlp_status_timestamp end nlp_status_timestamp
+        from feed f left join l1 using (id))"""
+
+SQL["outcome_status"] = f"{PASS1} select id, nlp_status, batch_id from p1"
+SQL["outcome_counts"] = f"""{PASS1}
+select batch_id, count(*) evaluated, count_if(nlp_status <> 'failed_nlp_analysis') succeeded,
+ count_if(nlp_status = 'failed_nlp_analysis') failed, count_if(nlp_status = 'pending_nlp_store_verification') store_unverified
+from p1 group by batch_id"""
+SQL["status_update"] = f"""{PASS1}
+select batch_id, nlp_status, count(*) updated from p1 where id in (select id from feed where id is not null) group by all"""
+SQL["backlog_with_log"] = f"{PASS1} select id, nlp_status, {ts('nlp_status_timestamp')} nlp_status_timestamp from cur"
+SQL["retry_backlog"] = f"""{PASS1} select id, nlp_status from cur where {ELIGIBLE}"""
+SQL["latest_status"] = f"""{PASS1},
+retry as (select c.id from cur c where {ELIGIBLE.replace('nlp_status', 'c.nlp_status')}),
+p2 as (select v.id, case when len(v.reasons) > 0 then 'failed_nlp_analysis' else 'completed' end nlp_status,
+       timestamp '2024-07-01 00:00:00' nlp_status_timestamp, cast(2000 as bigint) batch_id
+       from validated v join retry using (id)),
+alllog as (select * from p1 union all select * from p2)
+select id, nlp_status, batch_id, {ts('nlp_status_timestamp')} nlp_status_timestamp from alllog
+qualify row_number() over (partition by id order by nlp_status_timestamp desc, batch_id desc) = 1"""
+
+# ---------------------------------------------------------------- access paths
+
+SQL["results_by_topic"] = f"{RESTAB} select raw_mongo_id, round(probability, 6) probability from restab where topic_id = 1"
+SQL["signal_queue"] = f"""{RESTAB}
+select raw_mongo_id, {ts('original_timestamp')} original_timestamp from restab where signal_extraction_status = 'pending'
+order by original_timestamp asc nulls last, raw_mongo_id limit 100"""
+SQL["results_by_time"] = f"""{RESTAB}
+select raw_mongo_id, {ts('original_timestamp')} original_timestamp, source from restab
+where original_timestamp >= timestamp '2024-01-10 00:00:00' and original_timestamp < timestamp '2024-01-20 00:00:00'"""
+SQL["results_by_concept"] = f"""{RESTAB}
+select raw_mongo_id, keyword_concept_id, retrieved_by_keyword from restab
+where keyword_concept_id = '{'c' * 23}5' or raw_mongo_id = lpad('42', 24, '0')"""
