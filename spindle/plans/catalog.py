@@ -559,3 +559,54 @@ def q_results_by_concept(spark, sf_dir):
     concept = "c" * 23 + "5"
     r = t.where((F.col("keyword_concept_id") == concept) | (F.col("raw_mongo_id") == F.lpad(F.lit("42"), 24, "0")))
     return r.select("raw_mongo_id", "keyword_concept_id", "retrieved_by_keyword")
+
+
+# ---------------------------------------------------------------- streaming
+
+_STREAM_RUNS: dict[tuple[int, str], str] = {}
+
+
+def _stream_run(spark, sf_dir):
+    """Source rows written as JSON-lines files (50 rows each, a key never split over files),
+    drained by the enrichment stream with availableNow; returns the run folder."""
+    import uuid
+
+    from spindle.config import EngineConfig
+    from spindle.plans.common import fixture_models
+    from spindle.session import shared_path
+    from spindle.streaming import stream
+
+    k = (id(spark), sf_dir)
+    if k in _STREAM_RUNS:
+        return _STREAM_RUNS[k]
+    root = shared_path(spark, "spindle-runs", uuid.uuid4().hex)
+    stream.write_feed_files(doc_feed(spark, sf_dir), f"{root}/in", rows_per_file=50)
+    models = fixture_models(spark, sf_dir)
+    # files of 50 rows, five files per micro-batch
+    q = stream.start(spark, f"{root}/in", models, f"{root}/results", f"{root}/log", f"{root}/ckpt", EngineConfig(),
+                     available_now=True, max_files_per_trigger=5)
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
+    _STREAM_RUNS[k] = root
+    return root
+
+
+@register("stream_enrich")
+def q_stream_enrich(spark, sf_dir):
+    """STR-1/2/3: the result table after the stream drained every source file."""
+    root = _stream_run(spark, sf_dir)
+    t = rs.read_results(spark, f"{root}/results")
+    return t.select(
+        "raw_mongo_id", "source_id", "signal_extraction_status",
+        F.size("extracted_keywords_frequency").alias("n_keywords"),
+        F.get(F.col("assigned_topics"), 0)["id"].alias("topic_id"),
+    )
+
+
+@register("stream_status")
+def q_stream_status(spark, sf_dir):
+    """STR-5 in the stream: latest logged status of every source row the stream processed."""
+    root = _stream_run(spark, sf_dir)
+    log = lg.read_log(spark, f"{root}/log")
+    return lg.latest_status(log).select("id", "nlp_status")

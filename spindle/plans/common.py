@@ -43,7 +43,7 @@ def fixture_models(spark: SparkSession, sf_dir: str, labels: list[str] | None =
     from spindle.sources import fixtures as fx
 
     labels = labels or DEFAULT_LABELS
-    lex = fx.label_lexicon(spark, sf_dir, size=500)
+    lex = fx.label_lexicon(spark, sf_dir, size=500).cache()
     if not with_topics:
         return Models(lex, None, None, labels, lexicon_rows_bound=500)
     terms = topic_terms(fx.lang_topics(spark, sf_dir), top=10).cache()

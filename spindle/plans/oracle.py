@@ -376,3 +376,10 @@ where original_timestamp >= timestamp '2024-01-10 00:00:00' and original_timesta
 SQL["results_by_concept"] = f"""{RESTAB}
 select raw_mongo_id, keyword_concept_id, retrieved_by_keyword from restab
 where keyword_concept_id = '{'c' * 23}5' or raw_mongo_id = lpad('42', 24, '0')"""
+
+# ---------------------------------------------------------------- streaming
+
+SQL["stream_enrich"] = f"""{RESTAB}
+select raw_mongo_id, id source_id, 'pending' signal_extraction_status, cast(n_keywords as int) n_keywords, topic_id from res"""
+SQL["stream_status"] = f"""{BASE}
+select id, case when len(reasons) > 0 then 'failed_nlp_analysis' else 'completed' end nlp_status from backlog"""
