@@ -610,3 +610,28 @@ def q_stream_status(spark, sf_dir):
     root = _stream_run(spark, sf_dir)
     log = lg.read_log(spark, f"{root}/log")
     return lg.latest_status(log).select("id", "nlp_status")
+
+
+# ---------------------------------------------------------------- keyphrases
+
+from spindle.operators import keyphrases as kp  # noqa: E402
+
+
+def _keyphrase_candidates(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    stops = kp.corpus_stopwords(docs, "text", "lang", per_lang=50)
+    return kp.keyphrase_candidates(docs, "doc_id", "text", "lang", stops, max_n=3)
+
+
+@register("keyphrase_scores")
+def q_keyphrase_scores(spark, sf_dir):
+    """UDF-5 (before de-duplication): the 10 best-scored 1..3-gram candidates of every document."""
+    top = kp.top_candidates(_keyphrase_candidates(spark, sf_dir), "doc_id", top=10)
+    return top.select("doc_id", F.col("rank").cast("int").alias("rank"), "phrase", "n", "tf", r6("score").alias("score"))
+
+
+@register("keyphrases")
+def q_keyphrases(spark, sf_dir):
+    """UDF-5: top 10 keyphrases per document after greedy de-duplication (similarity > 0.9)."""
+    k = kp.dedup_keyphrases(_keyphrase_candidates(spark, sf_dir), "doc_id", top=10, limit=0.9)
+    return k.select("doc_id", "rank", "phrase", r6("score").alias("score"))

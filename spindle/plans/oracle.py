@@ -383,3 +383,47 @@ SQL["stream_enrich"] = f"""{RESTAB}
 select raw_mongo_id, id source_id, 'pending' signal_extraction_status, cast(n_keywords as int) n_keywords, topic_id from res"""
 SQL["stream_status"] = f"""{BASE}
 select id, case when len(reasons) > 0 then 'failed_nlp_analysis' else 'completed' end nlp_status from backlog"""
+
+# ---------------------------------------------------------------- keyphrases
+
+KEYPHRASES = r"""
+kd as (select doc_id, case when length(lang)=2 then lang else 'en' end lang, text from documents),
+stops as (select lang, term from (
+   select lang, term, row_number() over (partition by lang order by count(*) desc, term asc) r
+   from (select lang, unnest(regexp_extract_all(lower(text),'\p{L}+')) term from kd) group by lang, term) where r <= 50),
+ks as (select doc_id, lang, generate_subscripts(parts, 1) - 1 s_idx, unnest(parts) sentence
+       from (select doc_id, lang, regexp_split_to_array(text, '[.!?\n]+') parts from kd)),
+kw as (select doc_id, lang, s_idx, regexp_extract_all(sentence, '\p{L}+') words from ks),
+kw2 as (select * from kw where len(words) > 0),
+nsent as (select doc_id, count(*) n_sent from kw2 group by doc_id),
+tok as (select doc_id, lang, s_idx, i - 1 w_idx, words[i] word, lower(words[i]) term,
+               lower(words[i-1]) lft, lower(words[i+1]) rgt
+        from (select *, unnest(range(1, len(words) + 1)) i from kw2)),
+terms as (select doc_id, lang, term, count(*) tf,
+   count_if(not (length(word) > 1 and regexp_matches(word, '^\p{Lu}+$')) and w_idx > 0 and regexp_matches(word, '^\p{Lu}')) tf_cap,
+   count_if(length(word) > 1 and regexp_matches(word, '^\p{Lu}+$')) tf_upper,
+   quantile_cont(cast(s_idx as double), 0.5) med, count(distinct s_idx) sent_tf,
+   count(distinct lft) dl_n, count(lft) dl_d, count(distinct rgt) dr_n, count(rgt) dr_d
+   from tok group by all),
+terms2 as (select t.*, (s.term is not null) is_stop from terms t left join stops s using (lang, term)),
+dstats as (select doc_id, avg(tf) mean_tf, stddev_pop(tf) std_tf, max(tf) max_tf from terms2 where not is_stop group by doc_id),
+ts as (select t.doc_id, t.term, t.is_stop,
+   (1.0 + ((case when dl_d > 0 then dl_n / dl_d else 0.0 end) + (case when dr_d > 0 then dr_n / dr_d else 0.0 end)) * tf / max_tf) rel,
+   ln(ln(3.0 + med)) pos, greatest(tf_cap, tf_upper) / (1.0 + ln(tf)) cse, tf / (mean_tf + std_tf) frq, sent_tf / n_sent snt
+   from terms2 t join dstats using (doc_id) join nsent using (doc_id)),
+tsc as (select doc_id, term, is_stop, rel * pos / (cse + frq / rel + snt / rel) s from ts),
+grams as (select doc_id, lang, list_transform(g, lambda x: lower(x)) terms from (
+   select doc_id, lang, unnest(list_transform(range(0, len(words) - n + 1), lambda i: words[i+1:i+n])) g
+   from kw2, (select unnest([1, 2, 3]) n) nn where len(words) >= n)),
+cands as (select doc_id, terms, count(*) tf from grams g
+   where not exists (select 1 from stops s where s.lang = g.lang and s.term = g.terms[1])
+     and not exists (select 1 from stops s where s.lang = g.lang and s.term = g.terms[-1])
+   group by doc_id, terms),
+ct as (select doc_id, terms, tf, unnest(terms) term from cands),
+scored as (select ct.doc_id, ct.terms, ct.tf, sum(ln(greatest(tsc.s, 1e-300))) log_prod, sum(tsc.s) sum_s
+   from ct join tsc on ct.doc_id = tsc.doc_id and ct.term = tsc.term where not tsc.is_stop group by all),
+kc as (select doc_id, array_to_string(terms, ' ') phrase, cast(len(terms) as int) n, tf,
+   exp(log_prod) / (tf * (1.0 + sum_s)) score from scored),
+kr as (select *, cast(row_number() over (partition by doc_id order by round(score, 10), phrase) as int) rank from kc)"""
+
+SQL["keyphrase_scores"] = f"with {KEYPHRASES} select doc_id, rank, phrase, n, tf, round(score, 6) score from kr where rank <= 10"
