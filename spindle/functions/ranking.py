@@ -80,3 +80,20 @@ def ranked_labels(labels: list[str], scores: Column, tie_round: int = 8) -> Colu
         ),
     )
     return F.transform(F.array_sort(keyed), lambda e: F.struct(e["label"].alias("label"), e["score"].alias("score")))
+
+
+def inline_indexed(arr: Column | str, pos_name: str = "pos", value_name: str = "value") -> Column:
+    """Generator of (position, element) rows, like ``posexplode``.
+
+    Written as ``inline(transform(...))``: a code-generated ``posexplode`` over an array that a
+    higher-order function computes in the same stage re-evaluates that array for every output
+    element; ``inline`` evaluates it once per input row.
+    """
+    arr = F.col(arr) if isinstance(arr, str) else arr
+    return F.inline(F.transform(arr, lambda x, i: F.struct(i.alias(pos_name), x.alias(value_name))))
+
+
+def inline_values(arr: Column | str, value_name: str = "value") -> Column:
+    """Generator of one row per element (``explode`` without the re-evaluation issue above)."""
+    arr = F.col(arr) if isinstance(arr, str) else arr
+    return F.inline(F.transform(arr, lambda x: F.struct(x.alias(value_name))))

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from spindle.functions.ranking import inline_indexed, inline_values
 from spindle.functions.text import keyword_language, word_tokens
 from spindle.operators.sizing import sized_broadcast
 
@@ -102,7 +103,7 @@ def keyphrase_candidates(
         F.when(size >= n, F.transform(F.sequence(F.lit(0), size - n), gram(n))).otherwise(F.array().cast("array<array<string>>"))
         for n in range(1, max_n + 1)
     ]
-    cand = sents.select(key, "lang", F.explode(F.concat(*grams)).alias("gram"))
+    cand = sents.select(key, "lang", inline_values(F.concat(*grams), "gram"))
     cand = cand.select(key, "lang", F.transform("gram", lambda x: F.lower(x)).alias("terms"))
     cand = cand.select(key, "lang", "terms", F.element_at("terms", 1).alias("first"), F.element_at("terms", -1).alias("last"))
     first_stop = stops.select("lang", F.col("term").alias("first"), F.lit(1).alias("_fs"))
@@ -112,7 +113,7 @@ def keyphrase_candidates(
     cand = cand.groupBy(key, "terms").agg(F.count(F.lit(1)).alias("tf"))
 
     # candidate score from the scores of its non-stop terms
-    ct = cand.select(key, "terms", "tf", F.posexplode("terms").alias("i", "term"))
+    ct = cand.select(key, "terms", "tf", inline_values("terms", "term"))
     ct = ct.join(t, [key, "term"]).where(~F.col("is_stop"))
     scored = ct.groupBy(key, "terms", "tf").agg(
         F.sum(F.log(F.greatest(F.col("s"), F.lit(1e-300)))).alias("log_prod"), F.sum("s").alias("sum_s")
@@ -152,6 +153,6 @@ def dedup_keyphrases(cands: DataFrame, key: str, top: int = 10, limit: float = 0
         return F.when(keep, F.concat(acc, F.array(c))).otherwise(acc)
 
     kept = per_doc.select(key, F.aggregate("c", empty, step).alias("kept"))
-    return kept.select(key, F.posexplode("kept").alias("pos", "e")).select(
+    return kept.select(key, inline_indexed("kept", "pos", "e")).select(
         key, (F.col("pos") + 1).cast("int").alias("rank"), F.col("e.p").alias("phrase"), F.col("e.s").alias("score")
     )

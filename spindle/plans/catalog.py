@@ -341,7 +341,9 @@ def q_topic_centroids(spark, sf_dir):
     """UDF-7 (guided): centroid of each seed label, one row per dimension."""
     emb = read_table(spark, sf_dir, "embeddings").select("label", "embedding")
     c = tp.seeded_centroids(emb, "embedding", "label")
-    return c.select("topic_id", F.posexplode("centroid").alias("dim", "value")).select(
+    from spindle.functions.ranking import inline_indexed
+
+    return c.select("topic_id", inline_indexed("centroid", "dim", "value")).select(
         "topic_id", F.col("dim").cast("int").alias("dim"), r6("value").alias("value")
     )
 
