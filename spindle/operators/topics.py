@@ -74,14 +74,14 @@ def topic_catalog(terms: DataFrame, names: DataFrame, max_topics: int = 100_000)
 def with_topic_details(assigned: DataFrame, catalog: DataFrame, prob_col: str = "probability") -> DataFrame:
     """Adds ``topic`` STRUCT<id, name, keywords, probability>; an unknown topic gets no terms
     and the name ``Topic n``. The catalog is broadcast: one row per topic, counted when built."""
-    cat = F.broadcast(catalog.select("topic_id", "stored_name", "keywords"))
+    cat = F.broadcast(catalog.select("topic_id", F.col("stored_name").alias("_cat_name"), F.col("keywords").alias("_cat_kw")))
     j = assigned.join(cat, "topic_id", "left")
-    kws = F.coalesce("keywords", F.array().cast("array<struct<term:string,weight:double>>"))
-    name = topic_display_name(F.col("topic_id"), F.col("stored_name"), F.transform(kws, lambda e: e["term"]))
+    kws = F.coalesce("_cat_kw", F.array().cast("array<struct<term:string,weight:double>>"))
+    name = topic_display_name(F.col("topic_id"), F.col("_cat_name"), F.transform(kws, lambda e: e["term"]))
     topic = F.struct(
         F.col("topic_id").alias("id"), name.alias("name"), kws.alias("keywords"), F.col(prob_col).alias("probability")
     )
-    return j.withColumn("topic", topic).drop("stored_name", "keywords")
+    return j.withColumn("topic", topic).drop("_cat_name", "_cat_kw")
 
 
 def assign_topics_text(
