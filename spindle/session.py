@@ -36,6 +36,8 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, app: str =
         builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", os.environ.get("SPINDLE_DRIVER_MEMORY", "16g"))
         .config("spark.sql.files.maxPartitionBytes", str(32 * 1024 * 1024))
+        # reliable checkpoints of finished batches are removed once unreferenced
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
