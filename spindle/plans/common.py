@@ -54,4 +54,4 @@ def fixture_models(spark: SparkSession, sf_dir: str, labels: list[str] | None =
 def enriched_backlog(spark: SparkSession, sf_dir: str, with_topics: bool = True) -> DataFrame:
     from spindle.operators.enrich import enrich
 
-    return enrich(valid_backlog(spark, sf_dir), fixture_models(spark, sf_dir, with_topics=with_topics))
+    return enrich(validated_backlog(spark, sf_dir), fixture_models(spark, sf_dir, with_topics=with_topics), valid_col="is_valid")
