@@ -23,7 +23,7 @@ def with_top_frequencies(df: DataFrame, tokens: Column, n: int, out: str) -> Dat
     """
     p, f, s = f"_{out}_pairs", f"_{out}_flags", f"_{out}_starts"
     df = df.withColumn(
-        p, F.array_sort(F.transform(tokens, lambda t, i: F.struct(t.alias("tok"), i.alias("pos"))))
+        p, F.sort_array(F.transform(tokens, lambda t, i: F.struct(t.alias("tok"), i.alias("pos"))))
     )
     prev = F.concat(F.array(F.lit(None).cast("struct<tok:string,pos:int>")), F.slice(F.col(p), 1, F.greatest(F.size(p) - 1, F.lit(0))))
     df = df.withColumn(
@@ -48,7 +48,7 @@ def with_top_frequencies(df: DataFrame, tokens: Column, n: int, out: str) -> Dat
         lambda e, x: F.struct((e["idx"] - x).cast("long").alias("neg_cnt"), e["pos"].alias("pos"), e["tok"].alias("tok")),
     )
     top = F.transform(
-        F.slice(F.array_sort(runs), 1, n), lambda r: F.struct(r["tok"].alias("keyword"), (-r["neg_cnt"]).alias("frequency"))
+        F.slice(F.sort_array(runs), 1, n), lambda r: F.struct(r["tok"].alias("keyword"), (-r["neg_cnt"]).alias("frequency"))
     )
     empty = F.array().cast("array<struct<keyword:string,frequency:bigint>>")
     df = df.withColumn(out, F.when(F.coalesce(F.size(p), F.lit(0)) > 0, top).otherwise(empty))
@@ -79,7 +79,7 @@ def ranked_labels(labels: list[str], scores: Column, tie_round: int = 8) -> Colu
             s.alias("score"),
         ),
     )
-    return F.transform(F.array_sort(keyed), lambda e: F.struct(e["label"].alias("label"), e["score"].alias("score")))
+    return F.transform(F.sort_array(keyed), lambda e: F.struct(e["label"].alias("label"), e["score"].alias("score")))
 
 
 def inline_indexed(arr: Column | str, pos_name: str = "pos", value_name: str = "value") -> Column:

@@ -141,7 +141,7 @@ def dedup_keyphrases(cands: DataFrame, key: str, top: int = 10, limit: float = 0
     The walk is a fold over one document's candidates, all of them (no cap), sorted in the row.
     """
     per_doc = cands.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct(F.round("score", 10).alias("k"), F.col("phrase").alias("p"), F.col("score").alias("s")))).alias("c")
+        F.sort_array(F.collect_list(F.struct(F.round("score", 10).alias("k"), F.col("phrase").alias("p"), F.col("score").alias("s")))).alias("c")
     )
     empty = F.array().cast("array<struct<k:double,p:string,s:double>>")
 

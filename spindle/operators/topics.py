@@ -57,7 +57,7 @@ def topic_catalog(terms: DataFrame, names: DataFrame, max_topics: int = 100_000)
     """
     per_topic = terms.groupBy("topic_id").agg(
         F.transform(
-            F.array_sort(F.collect_list(F.struct("rank", "term", "weight"))),
+            F.sort_array(F.collect_list(F.struct("rank", "term", "weight"))),
             lambda e: F.struct(e["term"].alias("term"), e["weight"].alias("weight")),
         ).alias("keywords")
     )
@@ -119,7 +119,7 @@ def centroid_row(centroids: DataFrame, max_topics: int = 100_000) -> DataFrame:
     """All centroids as one broadcastable row: ARRAY<STRUCT<topic_id, v>> sorted by topic id."""
     require_rows(centroids, "topic centroids", max_rows=max_topics)
     return centroids.groupBy().agg(
-        F.array_sort(F.collect_list(F.struct(F.col("topic_id").cast("int").alias("topic_id"), as_double_array(F.col("centroid")).alias("v")))).alias("_cs")
+        F.sort_array(F.collect_list(F.struct(F.col("topic_id").cast("int").alias("topic_id"), as_double_array(F.col("centroid")).alias("v")))).alias("_cs")
     )
 
 
@@ -186,5 +186,5 @@ def seeded_centroids(vecs: DataFrame, vec_col: str, seed_col: str) -> DataFrame:
         .agg(F.avg(F.col("x").cast("double")).alias("m"))
     )
     return per_dim.groupBy("topic_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("dim", "m"))), lambda e: e["m"]).alias("centroid")
+        F.transform(F.sort_array(F.collect_list(F.struct("dim", "m"))), lambda e: e["m"]).alias("centroid")
     ).select(F.col("topic_id").cast("int"), "centroid")

@@ -174,8 +174,15 @@ def q_keyword_language_rule(spark, sf_dir):
 
 @register("keyword_frequency")
 def q_keyword_frequency(spark, sf_dir):
-    """AGG-1/WIN-2/SC-3: top-10 frequency keywords of every valid backlog document."""
-    return flat_keywords(with_keywords(valid_backlog(spark, sf_dir), 10))
+    """AGG-1/WIN-2/SC-3: top-10 frequency keywords of every valid backlog document.
+
+    Invalid rows carry no tokens, so they yield no keyword rows; gating instead of filtering keeps
+    the validity test (and the strict parse inside it) from being pushed below the parse."""
+    v = validated_backlog(spark, sf_dir)
+    gated = v.select(
+        "id", F.when(F.col("is_valid"), F.col("tokens")).alias("tokens"), F.when(F.col("is_valid"), F.col("lemmas")).alias("lemmas")
+    )
+    return flat_keywords(with_keywords(gated, 10))
 
 
 @register("keyword_summary_text")

@@ -84,7 +84,7 @@ def _mean_vectors(emb: DataFrame, key: str, out_key: str, out_col: str) -> DataF
         .agg(F.avg(F.col("x").cast("double")).alias("m"))
     )
     return per_dim.groupBy(out_key).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("dim", "m"))), lambda e: e["m"]).alias(out_col)
+        F.transform(F.sort_array(F.collect_list(F.struct("dim", "m"))), lambda e: e["m"]).alias(out_col)
     )
 
 
