@@ -113,18 +113,18 @@ select 'present' variant, id, nlp_status, 1 ts_is_null from feed"""
 
 SQL["request_scan"] = f"""with {FEED},{NORM}
 select id, raw_mongo_id, source, {ts('original_timestamp')} original_timestamp, retrieved_by_keyword,
- keyword_language, keyword_concept_id, detected_language, length(cleaned_text) text_chars,
- len(tokens) n_tokens, len(lemmas) n_lemmas, original_url from norm"""
+ keyword_language, keyword_concept_id, detected_language, cast(length(cleaned_text) as int) text_chars,
+ cast(len(tokens) as int) n_tokens, cast(len(lemmas) as int) n_lemmas, original_url from norm"""
 
 SQL["normalize_docs"] = f"""with {FEED},{NORM}
 select id, raw_mongo_id, source, {ts('original_timestamp')} original_timestamp, retrieved_by_keyword,
- keyword_language, keyword_concept_id, detected_language, length(cleaned_text) text_chars,
- len(tokens) n_tokens, tokens_state, len(lemmas) n_lemmas, lemmas_state, original_url from norm"""
+ keyword_language, keyword_concept_id, detected_language, cast(length(cleaned_text) as int) text_chars,
+ cast(len(tokens) as int) n_tokens, tokens_state, cast(len(lemmas) as int) n_lemmas, lemmas_state, original_url from norm"""
 
 SQL["parse_token_lists"] = f"""with {FEED},{NORM}
-select id, 'tokens_processed' field, tokens_state state, len(tokens) n_items, tokens[1] first_item from norm
+select id, 'tokens_processed' field, tokens_state state, cast(len(tokens) as int) n_items, tokens[1] first_item from norm
 union all
-select id, 'lemmas' field, lemmas_state state, len(lemmas) n_items, lemmas[1] first_item from norm"""
+select id, 'lemmas' field, lemmas_state state, cast(len(lemmas) as int) n_items, lemmas[1] first_item from norm"""
 
 SQL["validate_docs"] = f"""with {FEED},{NORM}, v as (select *, {REASONS} reasons from norm)
 select id, case when len(reasons)=0 then 1 else 0 end is_valid, array_to_string(reasons, '; ') reasons,
@@ -136,7 +136,7 @@ u as (
  select 'keyword_concept_id', 24, length(keyword_concept_id) from norm union all
  select 'keyword_language', 2, length(keyword_language) from norm union all
  select 'detected_language', 2, length(detected_language) from norm)
-select column_name, max_chars, count_if(len > max_chars) n_too_long, count_if(len is null) n_null,
+select column_name, max_chars, cast(count_if(len > max_chars) as bigint) n_too_long, cast(count_if(len is null) as bigint) n_null,
  cast(max(len) as int) max_len from u group by all"""
 
 SQL["blank_text_split"] = f"""with {FEED}
@@ -348,8 +348,9 @@ cur as (select f.id, coalesce(l1.nlp_status, f.nlp_status) nlp_status,
 
 SQL["outcome_status"] = f"{PASS1} select id, nlp_status, batch_id from p1"
 SQL["outcome_counts"] = f"""{PASS1}
-select batch_id, count(*) evaluated, count_if(nlp_status <> 'failed_nlp_analysis') succeeded,
- count_if(nlp_status = 'failed_nlp_analysis') failed, count_if(nlp_status = 'pending_nlp_store_verification') store_unverified
+select batch_id, count(*) evaluated, cast(count_if(nlp_status <> 'failed_nlp_analysis') as bigint) succeeded,
+ cast(count_if(nlp_status = 'failed_nlp_analysis') as bigint) failed,
+ cast(count_if(nlp_status = 'pending_nlp_store_verification') as bigint) store_unverified
 from p1 group by batch_id"""
 SQL["status_update"] = f"""{PASS1}
 select batch_id, nlp_status, count(*) updated from p1 where id in (select id from feed where id is not null) group by all"""
