@@ -110,18 +110,20 @@ def keyphrase_candidates(
     last_stop = stops.select("lang", F.col("term").alias("last"), F.lit(1).alias("_ls"))
     cand = cand.join(first_stop, ["lang", "first"], "left").join(last_stop, ["lang", "last"], "left")
     cand = cand.where(F.col("_fs").isNull() & F.col("_ls").isNull())
-    cand = cand.groupBy(key, "terms").agg(F.count(F.lit(1)).alias("tf"))
+    # group by the phrase text (a string key hashes and compares faster than an array key);
+    # words are letter runs, so splitting the phrase on a space gives its terms back
+    cand = cand.groupBy(key, F.array_join("terms", " ").alias("phrase")).agg(F.count(F.lit(1)).alias("tf"))
 
     # candidate score from the scores of its non-stop terms
-    ct = cand.select(key, "terms", "tf", inline_values("terms", "term"))
+    ct = cand.select(key, "phrase", "tf", inline_values(F.split("phrase", " "), "term"))
     ct = ct.join(t, [key, "term"]).where(~F.col("is_stop"))
-    scored = ct.groupBy(key, "terms", "tf").agg(
+    scored = ct.groupBy(key, "phrase", "tf").agg(
         F.sum(F.log(F.greatest(F.col("s"), F.lit(1e-300)))).alias("log_prod"), F.sum("s").alias("sum_s")
     )
     return scored.select(
         key,
-        F.array_join("terms", " ").alias("phrase"),
-        F.size("terms").alias("n"),
+        "phrase",
+        F.size(F.split("phrase", " ")).alias("n"),
         "tf",
         (F.exp("log_prod") / (F.col("tf") * (1.0 + F.col("sum_s")))).alias("score"),
     )
