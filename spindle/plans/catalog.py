@@ -428,14 +428,11 @@ def q_dedupe_latest(spark, sf_dir):
     return d.select("raw_mongo_id", "id", ts_text("original_timestamp").alias("original_timestamp"))
 
 
-def _results_fixture(spark, sf_dir, models=None):
+def _results_fixture(spark, sf_dir, enriched=None):
     """Result table after a first pass over the valid backlog, then a downstream consumer that
     marked the rows it already handled (original time before February 2024)."""
-    from spindle.operators.enrich import enrich
-    from spindle.plans.common import fixture_models
-
-    models = models or fixture_models(spark, sf_dir)
-    rows = rs.result_rows(enrich(validated_backlog(spark, sf_dir), models, valid_col="is_valid"), batch_id=1)
+    enriched = enriched if enriched is not None else enriched_backlog(spark, sf_dir)
+    rows = rs.result_rows(enriched, batch_id=1)
     table = rs.upsert(None, rows)
     handled = F.col("original_timestamp") < F.lit("2024-02-01 00:00:00").cast("timestamp")
     return table.withColumn(
@@ -447,14 +444,13 @@ def _results_fixture(spark, sf_dir, models=None):
 def q_upsert_results(spark, sf_dir):
     """SNK-1/JN-1: second pass re-sends the rows awaiting store verification; they replace
     their keys (downstream status reset to pending), every other key is kept."""
-    from spindle.operators.enrich import enrich
-    from spindle.plans.common import fixture_models
-
-    models = fixture_models(spark, sf_dir)  # one model set for both passes
-    old = _results_fixture(spark, sf_dir, models)
-    # the re-sent rows: the source rows still awaiting store verification (a pushed-down scan filter)
-    resend = validate(normalize(doc_feed(spark, sf_dir).where(F.col("nlp_status") == "pending_nlp_store_verification")))
-    new = rs.result_rows(enrich(resend, models, valid_col="is_valid"), batch_id=2)
+    enriched = enriched_backlog(spark, sf_dir)
+    old = _results_fixture(spark, sf_dir, enriched)
+    # the re-sent rows: results of the source rows still awaiting store verification. Taken from
+    # the same enriched frame, so the enrichment's exchange is reused, and since that frame is
+    # already partitioned by id, the semi join only shuffles the id side.
+    resend_ids = doc_feed(spark, sf_dir).where(F.col("nlp_status") == "pending_nlp_store_verification").select("id")
+    new = rs.result_rows(enriched.join(resend_ids, "id", "left_semi"), batch_id=2)
     merged = rs.upsert(old, new)
     return merged.select(
         "raw_mongo_id", "source_id", "batch_id", "signal_extraction_status",
