@@ -365,7 +365,6 @@ def q_topic_fit(spark, sf_dir):
 
 # ---------------------------------------------------------------- enrichment and results
 
-from spindle.config import LENGTH_LIMITS  # noqa: E402,F401
 from spindle.plans.common import enriched_backlog  # noqa: E402
 from spindle.sinks import ledger as lg  # noqa: E402
 from spindle.sinks import results as rs  # noqa: E402
@@ -460,7 +459,7 @@ def q_upsert_results(spark, sf_dir):
 
 # ------------------------------------------------------------ status ledger (two passes)
 
-from spindle.config import STATUS_COMPLETED, STATUS_FAILED, STATUS_STORE_UNVERIFIED  # noqa: E402
+from spindle.config import STATUS_FAILED, STATUS_STORE_UNVERIFIED  # noqa: E402
 
 FAILED_STORE_BATCH = 2  # the batch whose result store fails in the first pass
 
