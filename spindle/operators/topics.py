@@ -95,24 +95,26 @@ def assign_topics_text(
     (text, topic) then text, each pre-aggregated map-side.
     """
     tt, _ = sized_broadcast(terms.select("term", "topic_id", "weight"), max_broadcast_rows)
-    base = docs.select(*keys, F.col(text_col).alias("_text"))
-    blank = base.where(~F.coalesce(non_blank(F.col("_text")), F.lit(False))).select(
-        *keys, F.lit(OUTLIER).alias("topic_id"), F.lit(1.0).alias("probability"), F.lit(1).alias("blank")
+    # one pass over the input: a blank text contributes no tokens (explode_outer keeps its row)
+    ok = F.coalesce(non_blank(F.col(text_col)), F.lit(False))
+    base = docs.select(
+        *keys,
+        F.when(ok, F.lit(0)).otherwise(F.lit(1)).alias("blank"),
+        F.when(ok, word_tokens(F.col(text_col))).alias("_toks"),
     )
-    toks = base.where(non_blank(F.col("_text"))).select(*keys, F.explode_outer(word_tokens(F.col("_text"))).alias("term"))
+    toks = base.select(*keys, "blank", F.explode_outer("_toks").alias("term"))
     hits = toks.join(tt, "term", "left")
-    per_topic = hits.groupBy(*keys, "topic_id").agg(F.sum("weight").alias("s"))
-    best = per_topic.groupBy(*keys).agg(
+    per_topic = hits.groupBy(*keys, "blank", "topic_id").agg(F.sum("weight").alias("s"))
+    best = per_topic.groupBy(*keys, "blank").agg(
         F.max(F.when(F.col("topic_id").isNotNull(), F.struct(F.round("s", 10).alias("r"), (-F.col("topic_id")).alias("t"), F.col("s").alias("s")))).alias("_bs"),
         F.sum("s").alias("_total"),
     )
-    scored = best.select(
+    return best.select(
         *keys,
         F.coalesce(-F.col("_bs.t"), F.lit(OUTLIER)).cast("int").alias("topic_id"),
         F.when(F.col("_bs").isNotNull(), F.col("_bs.s") / F.col("_total")).otherwise(F.lit(1.0)).alias("probability"),
-        F.lit(0).alias("blank"),
+        "blank",
     )
-    return scored.unionByName(blank)
 
 
 def centroid_row(centroids: DataFrame, max_topics: int = 100_000) -> DataFrame:
