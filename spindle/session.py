@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -78,3 +80,21 @@ def shared_path(spark: SparkSession, *parts: str) -> str:
     """A path below the shared checkpoint folder, for tables that cut lineage."""
     root = ensure_checkpoint_dir(spark).rstrip("/")
     return "/".join([root, *parts])
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the workers of a cluster, once a session.
+
+    Python functions in tasks are pickled by module name, so the workers need the package on
+    their path whatever folder the driver was started in. In local mode they share it already.
+    """
+    sc = spark.sparkContext
+    if sc.master.startswith("local[") or sc.master == "local" or getattr(sc, "_spindle_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="spindle-pkg-")), "spindle_package.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, str(Path(root.name) / f.relative_to(root)))
+    sc.addPyFile(archive)
+    sc._spindle_shipped = True
