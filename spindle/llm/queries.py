@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import decode, encode, ids_digest
 from .common import prepare, read_table
 from .exactdedup import exact_dedup
 
@@ -32,3 +34,17 @@ WITH t AS (
 )
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, t.text_sha256 FROM t JOIN g USING (text_sha256)
 """
+
+
+@query
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document and their round trip, as digests."""
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    docs = read_table(prepare(spark), sf_dir, "documents").select("doc_id", "text")
+    out = decode(encode(docs, path, pattern), path, pattern)
+    return out.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        ids_digest("ids").alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
