@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .bpe import decode, encode, ids_digest
 from .common import prepare, read_table
 from .exactdedup import exact_dedup
+from .simhash import simhash_groups
 
 REGISTRY = {}
 SQL: dict[str, str] = {}
@@ -48,3 +49,9 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         ids_digest("ids").alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    return simhash_groups(read_table(prepare(spark), sf_dir, "documents"), shingle=3, radius=2)
