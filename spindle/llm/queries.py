@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .bpe import decode, encode, ids_digest
 from .common import prepare, read_table
 from .exactdedup import exact_dedup
+from .quality import quality_scores
 from .simhash import simhash_groups
 
 REGISTRY = {}
@@ -55,3 +56,10 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return simhash_groups(read_table(prepare(spark), sf_dir, "documents"), shingle=3, radius=2)
+
+
+@query
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    prepare(spark)
+    return quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
