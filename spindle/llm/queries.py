@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .bpe import decode, encode, ids_digest
 from .common import prepare, read_table
 from .exactdedup import exact_dedup
+from .packing import pack, token_pieces
 from .quality import quality_scores
 from .simhash import simhash_groups
 
@@ -63,3 +64,16 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document."""
     prepare(spark)
     return quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """Pieces of documents with their places; ids as their CRC-32."""
+    pieces = token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"))
+    pieces = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return pack(pieces)
+
+
+@query
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces, packed."""
+    return packed(read_table(prepare(spark), sf_dir, "documents"))
