@@ -11,6 +11,7 @@ from .common import prepare, read_table
 from .exactdedup import exact_dedup
 from .packing import pack, token_pieces
 from .quality import quality_scores
+from .secrets import BASE_RULES, RULES, find_secrets, span_text
 from .simhash import simhash_groups
 
 REGISTRY = {}
@@ -77,3 +78,43 @@ def packed(docs: DataFrame) -> DataFrame:
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces, packed."""
     return packed(read_table(prepare(spark), sf_dir, "documents"))
+
+
+@query
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: counts, base spans as a digest, all spans."""
+    found = find_secrets(read_table(prepare(spark), sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["ord"] < len(BASE_RULES))
+
+    def n_spans(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [n_spans(r.kind) for r in BASE_RULES]
+    return found.select(
+        F.col("__id").alias("doc_id"), *counts, F.sha2(span_text(base), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans")
+    )
+
+
+def _secret_sql() -> str:
+    quoted = [(n, r, r.regex.replace("'", "''")) for n, r in enumerate(RULES)]
+    found = " UNION ALL ".join(
+        f"""SELECT rid, {n} AS ord, '{r.kind}' AS kind, unnest(range(1, len(m) + 1)) AS i, m, g, gaps FROM (
+              SELECT rid, regexp_extract_all(t, '{x}') AS m, regexp_extract_all(t, '{x}', {r.group}) AS g, string_split_regex(t, '{x}') AS gaps FROM d)"""
+        for n, r, x in quoted
+    )
+    least = " ".join(f"WHEN {n} THEN {r.least}" for n, r, _ in quoted)
+    counts = ", ".join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in BASE_RULES)
+    named = "kind || ':' || a || ':' || (a + length(m[i]))"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+f AS ({found}),
+s AS (SELECT *, length(list_aggregate(gaps[1:i], 'string_agg', '')) + coalesce(length(list_aggregate(m[1:i - 1], 'string_agg', '')), 0) AS a
+      FROM f WHERE length(g[i]) >= CASE ord {least} END),
+p AS (SELECT rid, {counts}, string_agg({named}, ',' ORDER BY a, ord) FILTER (ord < {len(BASE_RULES)}) AS base,
+      string_agg({named}, ',' ORDER BY a, ord) AS spans FROM s GROUP BY rid)
+SELECT doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in BASE_RULES)},
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN p USING (rid)"""
+
+
+SQL["op9_secrets"] = _secret_sql()
