@@ -14,6 +14,7 @@ vocabulary is one id, as in the usual libraries; unknown ids in ``decode`` raise
 from __future__ import annotations
 
 import base64
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -23,11 +24,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CACHE_WORDS = 400_000
-CACHE_WORD_CHARS = 64
 BLOCK_CHARS = 1 << 20
 INF = np.int64(1) << np.int64(62)
 # white space of the pattern: the Unicode property
-UNSAFE = regex.compile(r" (?=\p{White_Space})| $")
+UNSAFE = re.compile(r" (?=\s)| $")  # \s holds a few characters more; those texts are cut with care
 SAFE_CUT = regex.compile(r" (?=\P{White_Space})")
 
 
@@ -86,14 +86,16 @@ class Encoder:
         self.pattern = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
         self.pairs = PairTable(self.ranks)
         self.byte_rank = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
-        self.cache: dict[str, bytes] = {}
+        self.cache: dict[str, bytes] = {}  # of a word after a space
+        self.pieces: dict[str, bytes] = {}
+        self.single = {r: np.array([r], np.int32).tobytes() for r in self.ranks.values()}
         n = max(self.ranks.values()) + 1
         self.tokens = [None] * n
         for token, r in self.ranks.items():
             self.tokens[r] = token
 
-    def _merge_block(self, pieces: list[bytes], size: int) -> list[np.ndarray]:
-        """Ids of pieces of 2 to ``size`` bytes, ``size`` a power of two."""
+    def _merge_block(self, pieces: list[bytes], size: int) -> list[bytes]:
+        """Ids (int32 bytes) of pieces of 2 to ``size`` bytes, ``size`` a power of two."""
         m = len(pieces)
         lens = np.fromiter(map(len, pieces), np.int64, m)
         code = np.full((m, size), -1, np.int64)
@@ -143,41 +145,49 @@ class Encoder:
                     flat[start + node] = np.minimum(flat[start + 2 * node], flat[start + 2 * node + 1])
                     node = node >> 1
         keep = code >= 0
-        ids = code[keep].astype(np.int32)
-        return np.split(ids, np.cumsum(keep.sum(axis=1))[:-1])
+        ids = code[keep].astype(np.int32).tobytes()
+        ends = np.cumsum(keep.sum(axis=1) * 4).tolist()
+        return [ids[a:b] for a, b in zip([0, *ends], ends)]
 
-    def encode_pieces(self, pieces: list[bytes]) -> list[np.ndarray]:
+    def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
         out: list = [None] * len(pieces)
         by_size: dict[int, list[int]] = {}
         for n, piece in enumerate(pieces):
             r = self.ranks.get(piece)
             if r is not None:
-                out[n] = np.array([r], np.int32)
+                out[n] = self.single[r]
             else:
                 by_size.setdefault(1 << max(1, (len(piece) - 1).bit_length()), []).append(n)
         for size, members in by_size.items():
             step = max(1, (1 << 18) // size)
             for a in range(0, len(members), step):
                 part = members[a : a + step]
-                for n, ids in zip(part, self._merge_block([pieces[n] for n in part], size), strict=True):
+                for n, ids in zip(part, self._merge_block([pieces[n] for n in part], size)):
                     out[n] = ids
         return out
 
-    def _words(self, text: str) -> list[str]:
-        """Parts whose pieces don't depend on each other: cut before a space that stands before
-        other than white space; but for the first, parts begin with that space."""
-        parts = text.split(" ") if not UNSAFE.search(text) else SAFE_CUT.split(text)
-        return [parts[0], *[" " + x for x in parts[1:]]]
+    def _fill(self, words: list[str]) -> list[bytes]:
+        pieces = [self.pattern.findall(w) for w in words]
+        known, spaced = self.pieces, self.cache
+        ids = {p: known.get(p) or (spaced.get(p[1:]) if p[0] == " " else None) for ps in pieces for p in ps}
+        new = [p for p, x in ids.items() if x is None]
+        ids.update(zip(new, self.encode_pieces([p.encode() for p in new])))
+        out = [b"".join([ids[p] for p in ps]) for ps in pieces]
+        known.update((p, ids[p]) for p in new if len(p) <= 2)  # marks and endings, that many words share
+        return out
 
-    def _fill(self, words: set[str]) -> dict[str, bytes]:
-        """ids (little-endian int32 bytes) of words; those short enough go to the cache."""
-        words_ = list(words)
-        pieces = [[x.encode() for x in self.pattern.findall(w)] for w in words_]
-        distinct = list({p for ps in pieces for p in ps})
-        ids = dict(zip(distinct, (x.tobytes() for x in self.encode_pieces(distinct)), strict=True))
-        return {w: b"".join([ids[p] for p in ps]) for w, ps in zip(words_, pieces, strict=True)}
+    def _encode_block(self, texts: list[str], keep: bool) -> list[bytes]:
+        # Parts whose pieces don't depend on each other: cut before a space that stands before
+        # other than white space. But for the first, parts lack the space they begin with.
+        parts = [SAFE_CUT.split(t) if UNSAFE.search(t) else t.split(" ") for t in texts]
+        cache = self.cache if keep else {}
+        new = list({w for ps in parts for w in ps[1:] if w not in cache})
+        cache.update(zip(new, self._fill([" " + w for w in new])))
+        first = self._fill([ps[0] for ps in parts])
+        return [b"".join([a, *[cache[w] for w in ps[1:]]]) for a, ps in zip(first, parts)]
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
+        """ids of each text as int32 bytes."""
         out, a = [], 0
         while a < len(texts):
             b, n = a, 0
@@ -186,15 +196,9 @@ class Encoder:
                 b += 1
             if len(self.cache) > CACHE_WORDS:
                 self.cache.clear()
-            words = [self._words(t) for t in texts[a:b]]
-            cache = self.cache
-            new = {w for ws in words for w in ws if w not in cache}
-            fresh = self._fill(new)
-            cache.update(fresh if n <= BLOCK_CHARS else {w: x for w, x in fresh.items() if len(w) <= CACHE_WORD_CHARS})
-            if n <= BLOCK_CHARS:
-                out += [b"".join([cache[w] for w in ws]) for ws in words]
-            else:
-                out += [b"".join([cache[w] if w in cache else fresh[w] for w in ws]) for ws in words]
+            if len(self.pieces) > CACHE_WORDS:
+                self.pieces.clear()
+            out += self._encode_block(texts[a:b], keep=n <= BLOCK_CHARS)  # one huge text fills no cache
             a = b
         return out
 
@@ -205,16 +209,12 @@ def encoder(path: str, pattern: str) -> Encoder:
     return Encoder(path, pattern)
 
 
-def _texts(col: pa.Array) -> list[str]:
-    return [x or "" for x in col.to_pylist()]
-
-
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
     """``docs`` with a column ``out`` of token ids (array<int>); a column of that name is replaced."""
 
     @F.arrow_udf("array<int>")
     def ids(col: pa.Array) -> pa.Array:
-        got = encoder(path, pattern).encode_many(_texts(col))
+        got = encoder(path, pattern).encode_many([x or "" for x in col.to_pylist()])
         lens = np.fromiter(map(len, got), np.int64, len(got)) // 4
         offsets = np.concatenate([[0], np.cumsum(lens)]).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(got), np.int32)))
@@ -228,9 +228,9 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str =
     @F.arrow_udf("binary")
     def text(col: pa.Array) -> pa.Array:
         tokens = encoder(path, pattern).tokens
-        flat = col.flatten().to_pylist()
+        flat = col.flatten().to_numpy()
         ends = np.cumsum([0, *[x or 0 for x in col.value_lengths().to_pylist()]])
-        return pa.array([b"".join([tokens[t] for t in flat[a:b]]) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
+        return pa.array([b"".join([tokens[t] for t in flat[a:b].tolist()]) for a, b in zip(ends[:-1], ends[1:])], pa.binary())
 
     return df.withColumn(out, text(F.col(ids)))
 

@@ -118,3 +118,11 @@ FROM d LEFT JOIN p USING (rid)"""
 
 
 SQL["op9_secrets"] = _secret_sql()
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus pipeline over ``documents``."""
+    import corpus_pipeline  # it imports this module
+
+    return corpus_pipeline.run(spark, sf_dir)
