@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .bpe import decode, encode, ids_digest
 from .common import prepare, read_table
+from .embeddings import embedding_groups
 from .exactdedup import exact_dedup
 from .packing import pack, token_pieces
 from .quality import quality_scores
@@ -126,3 +127,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # it imports this module
 
     return corpus_pipeline.run(spark, sf_dir)
+
+
+@query
+def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector."""
+    return embedding_groups(read_table(prepare(spark), sf_dir, "embeddings"))
