@@ -14,6 +14,7 @@ from .packing import pack, token_pieces
 from .quality import quality_scores
 from .secrets import BASE_RULES, RULES, find_secrets, span_text
 from .simhash import simhash_groups
+from .urlfilter import judge_urls
 
 REGISTRY = {}
 SQL: dict[str, str] = {}
@@ -133,3 +134,35 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and component of every vector."""
     return embedding_groups(read_table(prepare(spark), sf_dir, "embeddings"))
+
+
+# the rules of the contract: host, path, verdict
+URL_RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
+
+@query
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and verdict of every page's URL."""
+    pages = read_table(prepare(spark), sf_dir, "pages")
+    return judge_urls(pages, spark.createDataFrame(URL_RULES, "host string, path string, verdict string"))
+
+
+SQL["op3_url_filter"] = rf"""
+WITH p AS (
+  SELECT row_number() OVER () AS rid, page_id,
+         translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path
+  FROM pages
+), r(h, q, verdict) AS (VALUES {", ".join(str(r) for r in URL_RULES)}),
+b AS (
+  SELECT rid, arg_max(h || q, length(h || q)) AS rule, arg_max(verdict, length(h || q)) AS verdict
+  FROM p JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q) GROUP BY rid
+)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN b USING (rid)
+"""
