@@ -14,6 +14,7 @@ from .packing import pack, token_pieces
 from .quality import quality_scores
 from .secrets import BASE_RULES, RULES, find_secrets, span_text
 from .simhash import simhash_groups
+from .substrings import remove_repeats
 from .urlfilter import judge_urls
 
 REGISTRY = {}
@@ -166,3 +167,10 @@ b AS (
 )
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN b USING (rid)
 """
+
+
+@query
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that repeated 35-word windows remove from every document."""
+    out = remove_repeats(read_table(prepare(spark), sf_dir, "documents"), window=35)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
