@@ -16,6 +16,7 @@ from .secrets import BASE_RULES, RULES, find_secrets, span_text
 from .simhash import simhash_groups
 from .substrings import remove_repeats
 from .urlfilter import judge_urls
+from .warc import archive_pages
 
 REGISTRY = {}
 SQL: dict[str, str] = {}
@@ -174,3 +175,9 @@ def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that repeated 35-word windows remove from every document."""
     out = remove_repeats(read_table(prepare(spark), sf_dir, "documents"), window=35)
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as read back from the archives."""
+    return archive_pages(read_table(prepare(spark), sf_dir, "pages"), least=0)
