@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 CACHE_WORDS = 400_000
 BLOCK_CHARS = 1 << 20
+MARKS = frozenset(".,;:!?")
 INF = np.int64(1) << np.int64(62)
 # white space of the pattern: the Unicode property
 UNSAFE = re.compile(r" (?=\s)| $")  # \s holds a few characters more; those texts are cut with care
@@ -36,18 +37,18 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
+def all_pairs(ranks: dict[bytes, int]) -> list[tuple[int, int, int]]:
+    """Every way to make a token of two tokens."""
+    parts = ((ranks.get(token[:k]), ranks.get(token[k:]), r) for token, r in ranks.items() for k in range(1, len(token)))
+    return [(a, b, r) for a, b, r in parts if a is not None and b is not None]
+
+
 class PairTable:
     """rank of the token that two adjacent tokens make, for arrays of token ids."""
 
-    def __init__(self, ranks: dict[bytes, int]):
-        keys, out = [], []
-        width = max(ranks.values()) + 1
-        for token, r in ranks.items():
-            for k in range(1, len(token)):
-                a, b = ranks.get(token[:k]), ranks.get(token[k:])
-                if a is not None and b is not None:
-                    keys.append(a * width + b)
-                    out.append(r)
+    def __init__(self, pairs: list[tuple[int, int, int]], width: int):
+        """``pairs``: (left id, right id, merged id); a lower merged id has precedence."""
+        keys, out = [a * width + b for a, b, _ in pairs], [r for _, _, r in pairs]
         self.width = np.int64(width)
         bits = max(4, int(np.ceil(np.log2(max(1, len(keys)) * 3))))
         self.shift, self.mask = np.uint64(64 - bits), np.int64((1 << bits) - 1)
@@ -80,27 +81,21 @@ class PairTable:
         return val
 
 
-class Encoder:
-    def __init__(self, path: str, pattern: str):
-        self.ranks = load_ranks(path)
-        self.pattern = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
-        self.pairs = PairTable(self.ranks)
-        self.byte_rank = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
-        self.cache: dict[str, bytes] = {}  # of a word after a space
-        self.pieces: dict[str, bytes] = {}
-        self.single = {r: np.array([r], np.int32).tobytes() for r in self.ranks.values()}
-        n = max(self.ranks.values()) + 1
-        self.tokens = [None] * n
-        for token, r in self.ranks.items():
-            self.tokens[r] = token
+class Merger:
+    """Merges of byte strings, block by block; ``first`` gives the ids of the single bytes and
+    ``last`` those of a piece's last byte (the same, unless the vocabulary marks ends)."""
+
+    def __init__(self, pairs: PairTable, first: np.ndarray, last: np.ndarray):
+        self.pairs, self.first, self.last = pairs, first, last
 
     def _merge_block(self, pieces: list[bytes], size: int) -> list[bytes]:
-        """Ids (int32 bytes) of pieces of 2 to ``size`` bytes, ``size`` a power of two."""
+        """Ids (int32 bytes) of pieces of 1 to ``size`` bytes, ``size`` a power of two."""
         m = len(pieces)
         lens = np.fromiter(map(len, pieces), np.int64, m)
         code = np.full((m, size), -1, np.int64)
         inside = np.arange(size) < lens[:, None]
-        code[inside] = self.byte_rank[np.frombuffer(b"".join(pieces), np.uint8)]
+        code[inside] = self.first[np.frombuffer(b"".join(pieces), np.uint8)]
+        code[np.arange(m), lens - 1] = self.last[np.fromiter((p[-1] for p in pieces), np.int64, m)]
         nxt = np.tile(np.arange(1, size + 1, dtype=np.int64), (m, 1))
         nxt[nxt >= lens[:, None]] = size
         prv = np.tile(np.arange(-1, size - 1, dtype=np.int64), (m, 1))
@@ -149,15 +144,12 @@ class Encoder:
         ends = np.cumsum(keep.sum(axis=1) * 4).tolist()
         return [ids[a:b] for a, b in zip([0, *ends], ends)]
 
-    def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
+    def merge(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids (int32 bytes) of each piece."""
         out: list = [None] * len(pieces)
         by_size: dict[int, list[int]] = {}
         for n, piece in enumerate(pieces):
-            r = self.ranks.get(piece)
-            if r is not None:
-                out[n] = self.single[r]
-            else:
-                by_size.setdefault(1 << max(1, (len(piece) - 1).bit_length()), []).append(n)
+            by_size.setdefault(1 << max(1, (len(piece) - 1).bit_length()), []).append(n)
         for size, members in by_size.items():
             step = max(1, (1 << 18) // size)
             for a in range(0, len(members), step):
@@ -166,8 +158,33 @@ class Encoder:
                     out[n] = ids
         return out
 
+
+class Encoder(Merger):
+    def __init__(self, path: str, pattern: str):
+        self.ranks = load_ranks(path)
+        self.pattern = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
+        single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
+        super().__init__(PairTable(all_pairs(self.ranks), max(self.ranks.values()) + 1), single, single)
+        self.cache: dict[str, bytes] = {}  # of a word after a space
+        self.pieces: dict[str, bytes] = {}
+        self.single = {r: np.array([r], np.int32).tobytes() for r in self.ranks.values()}
+        n = max(self.ranks.values()) + 1
+        self.tokens = [None] * n
+        for token, r in self.ranks.items():
+            self.tokens[r] = token
+
+    def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
+        whole = [self.ranks.get(p) for p in pieces]
+        rest = iter(self.merge([p for p, r in zip(pieces, whole) if r is None]))
+        return [next(rest) if r is None else self.single[r] for r in whole]
+
     def _fill(self, words: list[str]) -> list[bytes]:
-        pieces = [self.pattern.findall(w) for w in words]
+        find = self.pattern.findall
+        # a space and letters are one piece, and a mark at their end another; others need the pattern
+        pieces = [
+            [w] if w[1:].isalpha() and w[0] == " " else [w[:-1], w[-1]] if w[-1:] in MARKS and w[1:-1].isalpha() and w[0] == " " else find(w)
+            for w in words
+        ]
         known, spaced = self.pieces, self.cache
         ids = {p: known.get(p) or (spaced.get(p[1:]) if p[0] == " " else None) for ps in pieces for p in ps}
         new = [p for p, x in ids.items() if x is None]

@@ -19,6 +19,8 @@ def prepare(spark: SparkSession) -> SparkSession:
     apply_defaults(spark)
     ensure_checkpoint_dir(spark)
     ship_package(spark)
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")  # rows hold whole texts
     return spark
 
 

@@ -16,7 +16,9 @@ and every piece is placed whatever it finds.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from bisect import bisect_left, insort
 from functools import lru_cache
 
@@ -26,20 +28,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import Merger, PairTable
 from .common import discard, prepare, staged
 
 CAPACITY = 4096
 SHARD_ITEMS = 8192
 SEARCH_BINS = 64
 OPEN_SLACK = 256  # a bin with more than 1/256 of the capacity free is dealt anew
-CACHE_WORDS = 600_000
+CACHE_WORDS = 400_000
 BLOCK_BYTES = 1 << 21
 
 PIECE = pa.struct([("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())])
 
 
 class WordTokenizer:
-    """ids of a library tokenizer whose tokens never cross white space, with a word cache."""
+    """ids of a library tokenizer whose tokens never cross white space, with a word cache.
+
+    Words of small Latin letters that end in any ASCII marks but an apostrophe, for which
+    normalising does nothing and splitting parts letters and marks, are merged in numpy blocks
+    with the library's own vocabulary and merges; every other word goes to the library.
+    """
+
+    PLAIN = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]*)")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -48,6 +58,31 @@ class WordTokenizer:
         self.lib = Tokenizer.from_file(path)
         self.lib.encode_special_tokens = True
         self.cache: dict[bytes, bytes] = {}
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        vocab, end = model["vocab"], model["end_of_word_suffix"]
+        merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        pairs = [(vocab[a], vocab[b], vocab[a + b]) for a, b in merges]
+        ids = [r for _, _, r in pairs]
+        if ids != sorted(ids):
+            raise ValueError("merged ids must rise with the order of the merges")
+        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]  # the byte alphabet: itself if it can be shown
+        hidden = [b for b in range(256) if b not in shown]
+        char = {b: chr(b) for b in shown} | {b: chr(256 + n) for n, b in enumerate(hidden)}
+        first, last = (np.array([vocab[char[b] + e] for b in range(256)], np.int64) for e in ("", end))
+        self.merger = Merger(PairTable(pairs, len(vocab) + 2), first, last)
+
+    def _fill(self, words: list[bytes]) -> None:
+        cache, match = self.cache, self.PLAIN.fullmatch
+        matches = [match(w) for w in words]
+        other = [w for w, m in zip(words, matches) if m is None]
+        plain = [m.group(0, 1, 2) for m in matches if m is not None]
+        new = list({p for _, a, b in plain for p in (a, b) if p and p not in cache})
+        cache.update(zip(new, self.merger.merge(new)))
+        cache.update([(w, cache[a] + cache[b]) for w, a, b in plain if b])
+        if other:
+            got = self.lib.encode_batch_fast([w.decode() for w in other], add_special_tokens=False)
+            cache.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(other, got, strict=True))
 
     def encode_many(self, texts: list[bytes]) -> list[bytes]:
         """ids of each text as little-endian unsigned 32-bit integers."""
@@ -62,9 +97,7 @@ class WordTokenizer:
             cache = self.cache
             words = [t.lower().split() for t in texts[a:b]]
             new = list({w for ws in words for w in ws if w not in cache})
-            if new:
-                got = self.lib.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-                cache.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, got, strict=True))
+            self._fill(new)
             out += [b"".join([cache[w] for w in ws]) for ws in words]
             a = b
         return out
