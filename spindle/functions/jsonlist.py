@@ -22,7 +22,11 @@ STATE_REJECT = "reject"
 def parse_string_list(c: Column | str) -> Column:
     """STRUCT<value ARRAY<STRING>, state STRING> with state in ok / null / reject."""
     c = F.col(c) if isinstance(c, str) else c
-    v = F.try_parse_json(c)
+    return variant_string_list(F.try_parse_json(c))
+
+
+def variant_string_list(v: Column) -> Column:
+    """The same for a value that is already a variant."""
     arr = F.try_variant_get(v, "$", "array<variant>")
     is_null_list = v.isNull() | F.is_variant_null(v)
     bad_element = F.exists(arr, lambda e: e.isNull() | (F.schema_of_variant(e) != F.lit("STRING")))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spindle.config import ABSENT_DEFAULTS, LENGTH_LIMITS
-from spindle.functions.jsonlist import STATE_NULL, STATE_OK, STATE_REJECT, parse_string_list
+from spindle.functions.jsonlist import STATE_NULL, STATE_OK, STATE_REJECT, parse_string_list, variant_string_list
 
 REQUIRED = ["raw_mongo_id", "source", "original_timestamp", "retrieved_by_keyword", "keyword_language", "cleaned_text"]
 LIST_FIELDS = ["tokens_processed", "lemmas"]
@@ -29,7 +29,7 @@ def _list_field(df: DataFrame, name: str) -> tuple[Column, Column]:
             .otherwise(F.lit(STATE_OK))
         )
         return F.when(state == STATE_OK, c), state
-    parsed = parse_string_list(F.col(name))
+    parsed = variant_string_list(F.col(name)) if isinstance(dtype, T.VariantType) else parse_string_list(F.col(name))
     return parsed["value"], parsed["state"]
 
 
@@ -51,7 +51,8 @@ def normalize(df: DataFrame) -> DataFrame:
     lem_v, lem_s = _list_field(df, "lemmas")
     ts = F.col("original_timestamp") if "original_timestamp" in df.columns else F.lit(None).cast("timestamp")
     return df.select(
-        F.col("id").try_cast("int").alias("id") if "id" in df.columns else F.lit(None).cast("int").alias("id"),
+        F.col("id").try_cast("bigint").alias("id") if "id" in df.columns else F.lit(None).cast("bigint").alias("id"),
+        (F.col("id").isNotNull() & F.col("id").try_cast("bigint").isNull() if "id" in df.columns else F.lit(False)).alias("id_rejected"),
         F.col("raw_mongo_id").cast("string").alias("raw_mongo_id"),
         col_or_default("source").alias("source"),
         ts.alias("original_timestamp"),
@@ -75,6 +76,7 @@ def reasons(include_lengths: bool = True) -> Column:
         F.when(F.col(state) == STATE_REJECT, F.lit(f"{field} must be a list of strings"))
         for field, state in (("tokens_processed", "tokens_state"), ("lemmas", "lemmas_state"))
     ]
+    checks.append(F.when(F.col("id_rejected"), F.lit("id must be an integer")))
     if include_lengths:
         checks += [
             F.when(F.length(c) > n, F.lit(f"{c} longer than {n} characters")) for c, n in LENGTH_LIMITS.items()

@@ -17,7 +17,7 @@ from spindle.functions.text import keyword_language, non_blank
 from spindle.operators.keywords import flat_keywords, keyword_summary, with_keywords
 from spindle.operators.validate import normalize, validate
 from spindle.plans.common import r6, size_or_null, ts_text, valid_backlog, validated_backlog
-from spindle.schemas import REQUEST, SOURCE_COLUMNS
+from spindle.schemas import REQUEST_JSON, SOURCE_COLUMNS
 from spindle.sources.backlog import backlog_scan, eligible, ensure_status
 from spindle.sources.fixtures import doc_feed
 
@@ -77,7 +77,7 @@ def q_request_scan(spark, sf_dir):
             )
         ).alias("body")
     )
-    req = as_json.select(F.from_json("body", REQUEST).alias("r")).select("r.*")
+    req = as_json.select(F.from_json("body", REQUEST_JSON).alias("r")).select("r.*")
     req = normalize(req)
     return req.select(
         "id", "raw_mongo_id", "source", ts_text("original_timestamp").alias("original_timestamp"),
@@ -260,7 +260,7 @@ def q_label_scores_proto(spark, sf_dir):
 def q_label_scores_model(spark, sf_dir):
     """UDF-1 model scorer: a user model on Arrow batches (deterministic stand-in model)."""
     feed = doc_feed(spark, sf_dir)
-    s = score_labels_model(feed, ["id"], "cleaned_text", char_class_model, DEFAULT_LABELS)
+    s = score_labels_model(feed, ["id"], "cleaned_text", char_class_model, DEFAULT_LABELS, model_id="char-class")
     return _flat(s, ["id"])
 
 
@@ -545,10 +545,9 @@ def q_results_by_topic(spark, sf_dir):
 
 @register("signal_queue")
 def q_signal_queue(spark, sf_dir):
-    """ACC-2: head of the downstream queue, the 100 oldest results still 'pending'."""
+    """ACC-2: the downstream queue, every result still 'pending' with its time."""
     t = _results_fixture(spark, sf_dir).where(F.col("signal_extraction_status") == "pending")
-    head = t.orderBy(F.col("original_timestamp").asc_nulls_last(), F.col("raw_mongo_id")).limit(100)
-    return head.select("raw_mongo_id", ts_text("original_timestamp").alias("original_timestamp"))
+    return t.select("raw_mongo_id", ts_text("original_timestamp").alias("original_timestamp"))
 
 
 @register("results_by_time")
@@ -571,7 +570,7 @@ def q_results_by_concept(spark, sf_dir):
 
 # ---------------------------------------------------------------- streaming
 
-_STREAM_RUNS: dict[tuple[int, str], str] = {}
+_STREAM_RUNS: dict[tuple[str, str], str] = {}
 
 
 def _stream_run(spark, sf_dir):
@@ -584,7 +583,7 @@ def _stream_run(spark, sf_dir):
     from spindle.session import shared_path
     from spindle.streaming import stream
 
-    k = (id(spark), sf_dir)
+    k = (spark.sparkContext.applicationId, sf_dir)
     if k in _STREAM_RUNS:
         return _STREAM_RUNS[k]
     root = shared_path(spark, "spindle-runs", uuid.uuid4().hex)

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 FEED = r"""
 feed as (
-select cast(doc_id as int) id,
+select cast(doc_id as bigint) id,
  lpad(cast(case when doc_id%40=39 then doc_id-1 else doc_id end as varchar),24,'0') raw_mongo_id,
  source,
  case when doc_id%97=5 then null else timestamp '2024-01-01 00:00:00' + to_minutes((doc_id*7919)%100003) end original_timestamp,
@@ -370,7 +370,7 @@ qualify row_number() over (partition by id order by nlp_status_timestamp desc, b
 SQL["results_by_topic"] = f"{RESTAB} select raw_mongo_id, round(probability, 6) probability from restab where topic_id = 1"
 SQL["signal_queue"] = f"""{RESTAB}
 select raw_mongo_id, {ts('original_timestamp')} original_timestamp from restab where signal_extraction_status = 'pending'
-order by original_timestamp asc nulls last, raw_mongo_id limit 100"""
+"""
 SQL["results_by_time"] = f"""{RESTAB}
 select raw_mongo_id, {ts('original_timestamp')} original_timestamp, source from restab
 where original_timestamp >= timestamp '2024-01-10 00:00:00' and original_timestamp < timestamp '2024-01-20 00:00:00'"""

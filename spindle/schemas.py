@@ -24,7 +24,7 @@ STATUS_TS_COLUMN = "nlp_status_timestamp"
 
 DOC_FEED = T.StructType(
     [
-        T.StructField("id", T.IntegerType()),
+        T.StructField("id", T.LongType()),
         T.StructField("raw_mongo_id", T.StringType()),
         T.StructField("source", T.StringType()),
         T.StructField("original_timestamp", T.TimestampType()),
@@ -44,7 +44,7 @@ DOC_FEED = T.StructType(
 # A single analysis request as JSON (the on-request path): lists are real JSON arrays here.
 REQUEST = T.StructType(
     [
-        T.StructField("id", T.IntegerType()),
+        T.StructField("id", T.LongType()),
         T.StructField("raw_mongo_id", T.StringType()),
         T.StructField("source", T.StringType()),
         T.StructField("original_timestamp", T.TimestampType()),
@@ -59,6 +59,15 @@ REQUEST = T.StructType(
     ]
 )
 
+# The same as JSON text: an id of any form and lists of any type are read as they stand, so that
+# validation and not a silent coercion decides about them.
+REQUEST_JSON = T.StructType(
+    [
+        T.StructField(f.name, T.StringType() if f.name == "id" else T.VariantType() if isinstance(f.dataType, T.ArrayType) else f.dataType)
+        for f in REQUEST.fields
+    ]
+)
+
 LABEL_SCORE = T.StructType([T.StructField("label", T.StringType()), T.StructField("score", T.DoubleType())])
 TERM_WEIGHT = T.StructType([T.StructField("term", T.StringType()), T.StructField("weight", T.DoubleType())])
 TOPIC_INFO = T.StructType(
@@ -93,14 +102,14 @@ RESULT = T.StructType(
         T.StructField("signal_extraction_status", T.StringType()),
         T.StructField("signal_extraction_timestamp", T.TimestampType()),
         # lineage: which source row and which batch wrote the current version
-        T.StructField("source_id", T.IntegerType()),
+        T.StructField("source_id", T.LongType()),
         T.StructField("batch_id", T.LongType()),
     ]
 )
 
 STATUS_LOG = T.StructType(
     [
-        T.StructField("id", T.IntegerType(), False),
+        T.StructField("id", T.LongType(), False),
         T.StructField(STATUS_COLUMN, T.StringType(), False),
         T.StructField(STATUS_TS_COLUMN, T.TimestampType()),
         T.StructField("batch_id", T.LongType(), False),

@@ -48,7 +48,9 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, app: str =
 
 
 def apply_defaults(spark: SparkSession) -> SparkSession:
-    """Fill in the package defaults on an existing session without overriding cluster values."""
+    """Fill in the package defaults on an existing session without overriding cluster values.
+
+    The time zone is the one exception: it is always UTC, on which results depend."""
     for k, v in SESSION_DEFAULTS.items():
         if k == "spark.ui.enabled":
             continue  # static conf, cannot change at runtime
@@ -57,7 +59,6 @@ def apply_defaults(spark: SparkSession) -> SparkSession:
                 spark.conf.set(k, v)
         except Exception:  # static or immutable conf on this deployment
             pass
-    # plans here time-zone-normalise everything; the driver-side contract assumes UTC
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark
 
@@ -70,6 +71,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="spindle-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindle.config import STATUS_PENDING, TERMINAL_STATES
-from spindle.schemas import REQUEST, SOURCE_COLUMNS, STATUS_COLUMN, STATUS_TS_COLUMN
+from spindle.schemas import REQUEST, REQUEST_JSON, SOURCE_COLUMNS, STATUS_COLUMN, STATUS_TS_COLUMN
 
 
 def ensure_status(df: DataFrame, status_col: str = STATUS_COLUMN) -> DataFrame:
@@ -55,7 +55,7 @@ def backlog_scan(df: DataFrame, limit: int | None, status_col: str = STATUS_COLU
 
 def request_source(spark: SparkSession, path: str) -> DataFrame:
     """Analysis requests as JSON lines (one document per line, ISO-8601 times)."""
-    return spark.read.schema(REQUEST).option("mode", "PERMISSIVE").json(path)
+    return spark.read.schema(REQUEST_JSON).option("mode", "PERMISSIVE").json(path)
 
 
 def request_frame(spark: SparkSession, records: list[dict]) -> DataFrame:

@@ -18,7 +18,7 @@ from spindle.sources.tables import read_table
 
 # Column expressions of the document adapter (same rows as the DuckDB form in FIXTURES.md).
 _DOC_FEED_EXPRS = [
-    "cast(doc_id as int) id",
+    "cast(doc_id as bigint) id",
     "lpad(cast(case when doc_id%40=39 then doc_id-1 else doc_id end as string),24,'0') raw_mongo_id",
     "source",
     "case when doc_id%97=5 then null else timestampadd(MINUTE, cast((doc_id*7919)%100003 as int), "
