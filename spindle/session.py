@@ -86,13 +86,13 @@ def shared_path(spark: SparkSession, *parts: str) -> str:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the workers of a cluster, once a session.
+    """Send this package to the workers, once a session.
 
-    Python functions in tasks are pickled by module name, so the workers need the package on
-    their path whatever folder the driver was started in. In local mode they share it already.
+    Python functions in tasks are pickled by module name, so the workers, of a local session
+    too, need the package on their path whatever folder the driver was started in.
     """
     sc = spark.sparkContext
-    if sc.master.startswith("local[") or sc.master == "local" or getattr(sc, "_spindle_shipped", False):
+    if getattr(sc, "_spindle_shipped", False):
         return
     root = Path(__file__).resolve().parent
     archive = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="spindle-pkg-")), "spindle_package.zip")
