@@ -56,7 +56,8 @@ def keyphrase_candidates(
     """(key, phrase, n, tf, score) for every candidate of every document; lower score = better."""
     stops, _ = sized_broadcast(stopwords.select("lang", "term").distinct(), 1_000_000)
     stop_flag = stops.withColumn("is_stop", F.lit(True))
-    sents = _sentences(docs, key, text_col, lang_col)
+    # one exchange deals out the documents; groupings that hold the document's key need no other
+    sents = _sentences(docs.select(key, text_col, lang_col).repartition(key), key, text_col, lang_col)
     n_sent = sents.groupBy(key).agg(F.count(F.lit(1)).alias("n_sent"))
 
     # words with their neighbours, built from shifted copies of the sentence's word array
