@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,11 +49,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(*frames: DataFrame) -> None:
-    """Delete staged tables that no later plan reads."""
+    """Delete staged tables that no later plan reads, and let go of the shuffle files behind them
+    (Spark removes these once the driver has collected the garbage that refers to them)."""
     for df in frames:
         path = getattr(df, "_staged_path", None)
         if path:
             delete_path(df.sparkSession, path)
+    gc.collect()
+    for df in frames[:1]:
+        df.sparkSession.sparkContext._jvm.System.gc()
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
