@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindle.llm.common import prepare, read_table, staged
+from spindle.llm.common import discard, prepare, read_table, staged
 from spindle.llm.exactdedup import exact_dedup
 from spindle.llm.quality import train, with_score
 from spindle.llm.queries import packed
@@ -26,10 +26,23 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return with_score(docs, model, out="__score").where("__score >= 0.5").select(*docs.columns)
 
 
+_numbered: list[DataFrame] = []
+
+
 def numbered(docs: DataFrame, name: str) -> DataFrame:
     """``docs`` as a table with a row number ``__row``, so that rows without an id, or that repeat
-    one, are rows of their own."""
-    return staged(docs.withColumn("__row", F.monotonically_increasing_id()), name)
+    one, are rows of their own.
+
+    A stage's result is written before the next stage begins, so the tables of earlier stages
+    that ``docs`` does not read any more are deleted here and do not add up.
+    """
+    read = docs.inputFiles()
+    spent = [t for t in _numbered if t.sparkSession is not docs.sparkSession or not any(t._staged_path in f for f in read)]
+    discard(*[t for t in spent if t.sparkSession is docs.sparkSession])
+    _numbered[:] = [t for t in _numbered if not any(t is x for x in spent)]
+    out = staged(docs.withColumn("__row", F.monotonically_increasing_id()), name)
+    _numbered.append(out)
+    return out
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
