@@ -81,6 +81,13 @@ class PairTable:
         return val
 
 
+def trim(cache: dict, most: int) -> None:
+    """Forget the newer half of a full cache; frequent words are met early, so they stay."""
+    if len(cache) > most:
+        for word in list(cache)[most // 2 :]:
+            del cache[word]
+
+
 class Merger:
     """Merges of byte strings, block by block; ``first`` gives the ids of the single bytes and
     ``last`` those of a piece's last byte (the same, unless the vocabulary marks ends)."""
@@ -147,10 +154,10 @@ class Merger:
     def merge(self, pieces: list[bytes]) -> list[bytes]:
         """Ids (int32 bytes) of each piece."""
         out: list = [None] * len(pieces)
-        by_size: dict[int, list[int]] = {}
-        for n, piece in enumerate(pieces):
-            by_size.setdefault(1 << max(1, (len(piece) - 1).bit_length()), []).append(n)
-        for size, members in by_size.items():
+        lens = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        power = np.maximum(1, np.ceil(np.log2(np.maximum(lens, 1)))).astype(np.int64)
+        for k in np.unique(power):
+            members, size = np.flatnonzero(power == k).tolist(), 1 << int(k)
             step = max(1, (1 << 18) // size)
             for a in range(0, len(members), step):
                 part = members[a : a + step]
@@ -198,10 +205,15 @@ class Encoder(Merger):
         # other than white space. But for the first, parts lack the space they begin with.
         parts = [SAFE_CUT.split(t) if UNSAFE.search(t) else t.split(" ") for t in texts]
         cache = self.cache if keep else {}
-        new = list({w for ps in parts for w in ps[1:] if w not in cache})
+        found = [list(map(cache.get, ps)) for ps in parts]
+        open_ = [(n, k) for n, ids in enumerate(found) for k, x in enumerate(ids) if x is None and k]
+        new = list({parts[n][k] for n, k in open_})
         cache.update(zip(new, self._fill([" " + w for w in new])))
-        first = self._fill([ps[0] for ps in parts])
-        return [b"".join([a, *[cache[w] for w in ps[1:]]]) for a, ps in zip(first, parts)]
+        for n, k in open_:
+            found[n][k] = cache[parts[n][k]]
+        for ids, first in zip(found, self._fill([ps[0] for ps in parts])):
+            ids[0] = first  # it lacks no space
+        return [b"".join(ids) for ids in found]
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """ids of each text as int32 bytes."""
@@ -211,10 +223,8 @@ class Encoder(Merger):
             while b < len(texts) and (b == a or n + len(texts[b]) <= BLOCK_CHARS):
                 n += len(texts[b])
                 b += 1
-            if len(self.cache) > CACHE_WORDS:
-                self.cache.clear()
-            if len(self.pieces) > CACHE_WORDS:
-                self.pieces.clear()
+            trim(self.cache, CACHE_WORDS)
+            trim(self.pieces, CACHE_WORDS)
             out += self._encode_block(texts[a:b], keep=n <= BLOCK_CHARS)  # one huge text fills no cache
             a = b
         return out

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Merger, PairTable
+from .bpe import Merger, PairTable, trim
 from .common import discard, prepare, staged
 
 CAPACITY = 4096
@@ -92,13 +92,15 @@ class WordTokenizer:
             while b < len(texts) and (b == a or n + len(texts[b]) <= BLOCK_BYTES):
                 n += len(texts[b])
                 b += 1
-            if len(self.cache) > CACHE_WORDS:
-                self.cache.clear()
-            cache = self.cache
+            trim(self.cache, CACHE_WORDS)
+            get = self.cache.get
             words = [t.lower().split() for t in texts[a:b]]
-            new = list({w for ws in words for w in ws if w not in cache})
-            self._fill(new)
-            out += [b"".join([cache[w] for w in ws]) for ws in words]
+            found = [list(map(get, ws)) for ws in words]
+            open_ = [(n, k) for n, ids in enumerate(found) if None in ids for k, x in enumerate(ids) if x is None]
+            self._fill(list({words[n][k] for n, k in open_}))
+            for n, k in open_:
+                found[n][k] = get(words[n][k])
+            out += map(b"".join, found)
             a = b
         return out
 
@@ -113,7 +115,7 @@ def token_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text: str =
 
     @F.arrow_udf("array<struct<piece int, start bigint, length bigint, ids binary>>")
     def cut(col: pa.Array) -> pa.Array:
-        texts = [(x or "").encode() for x in col.to_pylist()]
+        texts = [x or b"" for x in col.to_pylist()]
         tail = np.array([end_id], "<u4").tobytes()
         rows = []
         for ids in tokenizer(path).encode_many(texts):
@@ -123,7 +125,7 @@ def token_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text: str =
         values = pa.StructArray.from_arrays([pa.array([p[j] for p in flat], t.type) for j, t in enumerate(PIECE)], fields=list(PIECE))
         return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), values)
 
-    cutted = docs.select(F.col(id_col).alias("__id"), cut(F.col(text)).alias("__pieces"))
+    cutted = docs.select(F.col(id_col).alias("__id"), cut(F.col(text).cast("binary")).alias("__pieces"))
     return cutted.select(F.col("__id").alias(id_col), F.inline("__pieces"))
 
 
