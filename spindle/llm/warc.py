@@ -35,6 +35,7 @@ from .common import discard, prepare, scratch_path, staged
 
 SHARD_BYTES = 32 << 20  # payload bytes of a shard
 ROLL_BYTES = 16 << 20  # compressed bytes after which a file ends
+BROADCAST_ROWS = 100_000  # repeated payloads (a digest and an id each) that may be broadcast
 DATE = "2000-01-01T00:00:00Z"  # records carry no clock time, so that files repeat
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "temporary string, final string, records long, bytes long"
@@ -134,10 +135,15 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url: str
         return pa.array([sha1_base32(x.as_py()) for x in col], pa.string())
 
     base = base.withColumn("digest", payload_digest("payload"))
-    groups = staged(base.groupBy("digest").agg(F.min("page_id").alias("first"), F.sum(F.length("payload").cast("long")).alias("bytes")), "payloads")
-    shards = max(1, -(-(groups.agg(F.sum("bytes")).first()[0] or 0) // SHARD_BYTES))
-    known = groups.select(F.col("digest").alias("__d"), "first")
-    rows = base.join(known, base["digest"] == known["__d"]).select("page_id", "url", "payload", "digest", "first")
+    sums = [F.min("page_id").alias("first"), F.sum(F.length("payload").cast("long")).alias("bytes"), F.count(F.lit(1)).alias("n")]
+    groups = staged(base.groupBy("digest").agg(*sums), "payloads")
+    total, repeated = groups.agg(F.sum("bytes"), F.count_if(F.col("n") > 1)).first()
+    shards = max(1, -(-(total or 0) // SHARD_BYTES))
+    # only payloads that repeat have to be looked up; few of them need no shuffle of the payloads
+    known = groups.where("n > 1").select(F.col("digest").alias("__d"), "first")
+    known = F.broadcast(known) if repeated <= BROADCAST_ROWS else known
+    first = F.when(F.col("__d").isNotNull(), F.col("first")).otherwise(F.col("page_id"))
+    rows = base.join(known, base["digest"] == known["__d"], "left").select("page_id", "url", "payload", "digest", first.alias("first"))
     order = [F.col("page_id").asc_nulls_last(), F.col("digest")]
     rows = rows.repartitionByRange(shards, *order).sortWithinPartitions(*order, "url")
     fs, root = FileSystem.from_uri(folder)

@@ -48,7 +48,8 @@ def test_odd_rows_rolling_and_determinism(spark, monkeypatch):
     assert payloads[0] == rows[0][1] and payloads[502] == "q" * 3_000_00
 
 
-def test_least_and_empty(spark):
+def test_least_and_empty(spark, monkeypatch):
+    monkeypatch.setattr(W, "BROADCAST_ROWS", 0)
     df = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abcdef"), (4, "u", "abcdef")], "page_id long, url string, html string")
     got = {r.page_id: (r.record_type, r.refers_to) for r in W.archive_pages(df, least=5).collect()}
     assert got == {1: ("response", None), 2: ("response", None), 3: ("response", None), 4: ("revisit", 3)}
