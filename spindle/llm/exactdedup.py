@@ -7,8 +7,10 @@ full 32-byte digest and the winner's id. A lookup computes the slot, compares al
 either returns the winner or says the digest is no member; nonmembers are grouped separately.
 
 Hot digests (more than 1/1000 of the rows each, so fewer than 1000 of them) are looked up in an
-index of their own that is broadcast, without any shuffle; every other digest holds at most a
-thousandth of the rows, so the shards of the shuffled lookup stay even. Only digests move.
+index of their own that is broadcast, without any shuffle. Shards are cut by distinct digests, so
+the rows that look one up are unbounded (many mid-sized groups of copies, a history smaller than
+the rows): they are counted per shard and dealt by row number, not by digest, to parts of about
+``PROBE_ROWS``, each with the shard's index. No task holds more than that. Only digests move.
 
 Edge cases: null text counts as empty; rows repeated in id and text are one document and share
 its decision; null ids take part, are never the winner unless all ids of the group are null
@@ -25,6 +27,7 @@ from pyspark.sql import functions as F
 from .common import ASCII_SPACE, discard, prepare, staged, text_or_empty
 
 SHARD_ROWS = 50_000
+PROBE_ROWS = 200_000  # rows that look up one copy of a shard's index
 BUCKET = 4  # mean digests per seed of the perfect hash
 HOT_SHARE = 1000  # a digest with more than 1/1000 of the rows is hot
 NO_ID = np.iinfo(np.int64).min
@@ -162,7 +165,14 @@ def lookup(rows: DataFrame, history: DataFrame) -> DataFrame:
     first = rows.mapInPandas(hot_lookup, ANSWER)
     index = _sharded(history.where(F.col("size") * HOT_SHARE <= F.lit(n or 0)), n_shards).groupBy("shard").applyInPandas(_build_shard, INDEX_SCHEMA)
     rest = _sharded(first.where(~F.col("member")).select("__id", "digest"), n_shards)
-    second = rest.groupBy("shard").cogroup(index.groupBy("shard")).applyInPandas(_probe, ANSWER)
+    cold = rows.join(F.broadcast(hot.select("digest")), "digest", "left_anti")
+    parts = staged(_sharded(cold, n_shards).groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / F.lit(PROBE_ROWS)).alias("parts")), "parts")
+    many = F.broadcast(parts.where("parts > 1"))  # at most a row per SHARD_ROWS digests or PROBE_ROWS rows
+    part = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.coalesce("parts", F.lit(1)))  # equal rows get different parts
+    dealt = rest.join(many, "shard", "left").select("__id", "digest", "shard", part.alias("part"))
+    last = F.coalesce("parts", F.lit(1)) - 1
+    copies = index.join(many, "shard", "left").select(*index.columns, F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("part"))
+    second = dealt.groupBy("shard", "part").cogroup(copies.groupBy("shard", "part")).applyInPandas(_probe, ANSWER)
     return first.where("member").unionByName(second)
 
 

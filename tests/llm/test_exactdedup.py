@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+import spindle.llm.exactdedup as X
 from spindle.llm.exactdedup import build_mph, exact_dedup, summarise, with_digest
 
 SCHEMA = "doc_id long, text string, digest int, keep_id string"
@@ -33,3 +34,27 @@ def test_hot_group_and_history(spark):
 
 def test_empty(spark):
     assert exact_dedup(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+@pytest.mark.parametrize("known", [True, False])
+def test_no_group_of_probes_grows_with_the_rows(spark, monkeypatch, known):
+    """Mid-sized groups of copies (no digest is hot), also with equal ids, in one shard."""
+    real, most = X._probe, 400
+
+    def probe(key, rows, index):
+        assert len(rows) <= 2 * most, f"{len(rows)} rows in one group"
+        return real(key, rows, index)
+
+    monkeypatch.setattr(X, "_probe", probe)
+    monkeypatch.setattr(X, "PROBE_ROWS", most, raising=False)
+    docs = spark.createDataFrame([(i % 3000 if i % 2000 else 7, f"t{i % 2000}") for i in range(8000)], "doc_id long, text string")
+    past = None if known else summarise(with_digest(docs.limit(10)))
+    out = exact_dedup(docs, past).collect()
+    ids = {}
+    for i in range(8000):
+        ids.setdefault(f"t{i % 2000}", []).append(i % 3000 if i % 2000 else 7)
+    want = sorted((d, min(g), len(g)) for g in ids.values() for d in g)
+    if known:
+        assert sorted((r.doc_id, r.keep_id, r.group_size) for r in out) == want
+    else:
+        assert sorted(r.doc_id for r in out) == [d for d, _, _ in want]
