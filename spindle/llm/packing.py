@@ -46,7 +46,9 @@ class WordTokenizer:
 
     Words of small Latin letters that end in any ASCII marks but an apostrophe, for which
     normalising does nothing and splitting parts letters and marks, are merged in numpy blocks
-    with the library's own vocabulary and merges; every other word goes to the library.
+    with the library's own vocabulary and merges; every other word goes to the library. The
+    tokenizer's special literals (``<|endoftext|>``), matched by their case before anything is
+    normalised, give their one id wherever they stand, as in the library's plain call.
     """
 
     PLAIN = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]*)")
@@ -56,10 +58,17 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        self.lib.encode_special_tokens = True
+        self.lib.encode_special_tokens = True  # for lower-case words: the literals are cut out before, by their case
         self.cache: dict[bytes, bytes] = {}
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            spec = json.load(f)
+        model, added = spec["model"], spec["added_tokens"]
+        if any(t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"] or not t["special"] for t in added):
+            raise ValueError("added tokens must be special literals that are matched as they stand")
+        # a key with a space is no word
+        self.literals = {b" " + t["content"].encode(): np.array([t["id"]], "<u4").tobytes() for t in added}
+        longest = sorted((k[1:] for k in self.literals), key=len, reverse=True)
+        self.literal = re.compile(b"(" + b"|".join(map(re.escape, longest)) + b")") if longest else None
         vocab, end = model["vocab"], model["end_of_word_suffix"]
         merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         pairs = [(vocab[a], vocab[b], vocab[a + b]) for a, b in merges]
@@ -84,6 +93,15 @@ class WordTokenizer:
             got = self.lib.encode_batch_fast([w.decode() for w in other], add_special_tokens=False)
             cache.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(other, got, strict=True))
 
+    def _words(self, text: bytes) -> list[bytes]:
+        """Lower-case words of a text; a special literal of the tokenizer is its key in ``literals``."""
+        if self.literal is None or not self.literal.search(text):
+            return text.lower().split()
+        out = []
+        for n, part in enumerate(self.literal.split(text)):
+            out += [b" " + part] if n % 2 else part.lower().split()
+        return out
+
     def encode_many(self, texts: list[bytes]) -> list[bytes]:
         """ids of each text as little-endian unsigned 32-bit integers."""
         out, a = [], 0
@@ -93,8 +111,9 @@ class WordTokenizer:
                 n += len(texts[b])
                 b += 1
             trim(self.cache, CACHE_WORDS)
+            self.cache.update(self.literals)
             get = self.cache.get
-            words = [t.lower().split() for t in texts[a:b]]
+            words = list(map(self._words, texts[a:b]))
             found = [list(map(get, ws)) for ws in words]
             open_ = [(n, k) for n, ids in enumerate(found) if None in ids for k, x in enumerate(ids) if x is None]
             self._fill(list({words[n][k] for n, k in open_}))

@@ -79,3 +79,24 @@ def test_odd_rows(spark):
     out = packed(df).collect()
     assert sum(r.length for r in out) == sum(len(ids(t)) for _, t in rows)
     assert packed(df.limit(0)).collect() == []
+
+
+PLAIN = Tokenizer.from_file(PATH)  # as it comes, without a flag
+LITERALS = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext", "|>", "<|", "endoftext"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from([*LITERALS, " ", "\n", "\u0301", "Bar", "x", "'s", "\u00e9", "\u03a3", "9"]), max_size=12).map("".join))
+def test_special_literals_as_the_plain_library(text):
+    got = np.frombuffer(P.tokenizer(PATH).encode_many([text.encode()])[0], "<u4").tolist()
+    assert got == PLAIN.encode(text, add_special_tokens=False).ids
+
+
+def test_special_literals_in_rows(spark):
+    texts = ["foo <|endoftext|> bar", "a<|startoftext|>b<|endoftext|>", "<|EndOfText|>", "<|endoftext|> " * 5000]
+    want = [[*PLAIN.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    assert want[0] == [23435, 49407, 2411, 1]
+    rows = packed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    got = sorted((r.doc_id, r.start, r.length, r.ids_crc32) for r in rows)
+    cuts = [(d, a, w[a : a + 4096]) for d, w in enumerate(want) for a in range(0, len(w), 4096)]
+    assert got == [(d, a, len(part), zlib.crc32(np.array(part, "<u4").tobytes())) for d, a, part in cuts]
