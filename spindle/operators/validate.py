@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from spindle.config import ABSENT_DEFAULTS, LENGTH_LIMITS
 from spindle.functions.jsonlist import STATE_NULL, STATE_OK, STATE_REJECT, parse_string_list, variant_string_list
+from spindle.schemas import ROW_KEY
 
 REQUIRED = ["raw_mongo_id", "source", "original_timestamp", "retrieved_by_keyword", "keyword_language", "cleaned_text"]
 LIST_FIELDS = ["tokens_processed", "lemmas"]
@@ -66,6 +67,7 @@ def normalize(df: DataFrame) -> DataFrame:
         lem_v.alias("lemmas"),
         lem_s.alias("lemmas_state"),
         col_or_default("original_url").alias("original_url"),
+        *[c for c in [ROW_KEY] if c in df.columns],
     )
 
 

@@ -116,6 +116,10 @@ STATUS_LOG = T.StructType(
     ]
 )
 
+# Rows without a usable id, by a hash of their source columns.
+ROW_KEY = "row_key"
+UNKEYED_LOG = T.StructType([T.StructField(ROW_KEY, T.StringType(), False), *STATUS_LOG.fields[1:]])
+
 SENTIMENT_LABEL = T.StructType([T.StructField("label_pos", T.IntegerType()), T.StructField("label", T.StringType())])
 LABEL_LEXICON = T.StructType(
     [
