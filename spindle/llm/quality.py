@@ -2,13 +2,14 @@
 
 Statistics are counts and ratios of the whole text (words, repeats, symbols, lines); labels,
 language, source and id never enter them. Training draws a bounded sample of labelled rows (at
-most ``max_rows`` in hash order of the id, so the same rows on every run), bins each statistic at
+most ``max_rows`` in hash order of the id, so the same rows on every run; where ids repeat, each
+text and label of an id counts once and the cut is in hash order of id and text), bins each statistic at
 its quantiles and boosts depth-limited trees on the logistic loss; the histograms of all
 statistics at a level are one ``bincount``. The trees become flat arrays (feature, bin, leaf
 values) that numpy walks level by level for a whole batch. Scoring is one pass without a shuffle.
 
-Edge cases: null text is empty and is scored like any text; a label or id that is null, and a
-repeated labelled id, does not train or counts as often as it stands; with no labelled rows, or
+Edge cases: null text is empty and is scored like any text; a label or id that is null does not
+train; rows and labels that repeat count once; with no labelled rows, or
 labels all alike, the score is the smoothed share of label 1 (0.5 without any).
 """
 
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import prepare, row_key
 
 MAX_ROWS = 20_000
 BINS = 64
@@ -132,16 +133,20 @@ def remainder(id_col: str) -> Column:
 def _stat_rows(batches):
     for b in batches:
         x = [statistics(t.as_py()) for t in b.column("text")]
-        yield pa.RecordBatch.from_arrays([pa.array([r.tolist() for r in x], pa.list_(pa.float64())), b.column("y")], ["x", "y"])
+        yield pa.RecordBatch.from_arrays([pa.array([r.tolist() for r in x], pa.list_(pa.float64())), b.column("y"), b.column("key")], ["x", "y", "key"])
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text: str = "text", max_rows: int = MAX_ROWS) -> Trees:
     """Fit on at most ``max_rows`` labelled documents outside the held-out third."""
     usable = F.col(id_col).isNotNull() & (remainder(id_col) != 1)
     marked = labels.where(usable & F.col(label).isNotNull()).select(F.col(id_col).alias("__id"), F.col(label).cast("int").alias("y"))
-    drawn = marked.orderBy(F.xxhash64("__id"), "__id", "y").limit(max_rows)  # bounded, so safe to broadcast
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text).alias("text")).join(F.broadcast(drawn), "__id")
-    got = rows.select("text", "y").mapInArrow(_stat_rows, "x array<double>, y int").orderBy("x", "y").limit(2 * max_rows).collect()
+    drawn = marked.distinct().orderBy(F.xxhash64("__id"), "__id", "y").limit(max_rows)  # bounded, so safe to broadcast
+    rows = docs.select(*row_key(id_col, text), F.col(text).alias("text")).join(F.broadcast(drawn), "__id")
+    rows = rows.select("text", "y", F.struct("__id", "__rk").alias("key"))
+    stats = rows.mapInArrow(_stat_rows, f"x array<double>, y int, key {dict(rows.dtypes)['key']}")
+    once = stats.groupBy("key", "y").agg(F.first("x").alias("x"))  # equal in id and text: equal in x
+    got = once.orderBy(F.xxhash64("key"), "key", "y").limit(max_rows).select("x", "y").collect()
+    got.sort(key=lambda r: (r.x, r.y))
     x = np.array([r.x for r in got], np.float64).reshape(-1, len(FEATURES))
     return fit(x, np.array([r.y for r in got], np.float64))
 

@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 
+import spindle.llm.quality as Q
 from spindle.llm.quality import FEATURES, fit, quality_scores, statistics
 from spindle.llm.queries import REGISTRY
 
@@ -39,3 +40,19 @@ def test_odd_rows(spark):
     rows = quality_scores(docs, labels).collect()
     assert len(rows) == 5 and all(0 <= r.score <= 1 for r in rows)
     assert quality_scores(docs.limit(0), labels.limit(0)).collect() == []
+
+
+def test_repeats_do_not_crowd_out_the_draw(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(Q, "fit", lambda x, y: seen.append((x, y)))
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 3 != 1]
+    # a labelled id whose rows are many short texts, labels that repeat
+    docs = [(ids[0], f"a{n}") for n in range(100)] + [(i, "long word " * i) for i in ids[1:]] * 2
+    labels = [(ids[0], 0)] * 90 + [(i, i % 2) for i in ids[1:]]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame(labels, "doc_id long, quality int")
+    Q.train(docs, labels, max_rows=60)
+    Q.train(docs, labels, max_rows=10_000)
+    (x, y), (all_x, all_y) = seen
+    assert len(y) == 60 and len(all_y) == 100 + len(ids) - 1
+    assert set(y) == {0, 1} and x[:, 0].max() > np.log1p(100)
