@@ -68,7 +68,7 @@ def literal_runs(regex: str) -> list[set[str]]:
                     parts, exact = arg[1], True
                 else:
                     low, high, part = arg
-                    parts, exact = [part] * bool(low) + [[]] * (low == 0), high == 1
+                    parts, exact = [part] + [[]] * (low == 0), high == 1  # an optional part is there or not
                 options = set()
                 for part in parts:
                     found = _exact(part)

@@ -2,7 +2,7 @@ import hashlib
 import re
 
 from spindle.llm.queries import REGISTRY
-from spindle.llm.secrets import RULES, find_secrets, redacted, trigram_query
+from spindle.llm.secrets import RULES, Rule, find_secrets, redacted, trigram_query
 
 KINDS = [
     ("assign", re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), lambda m: len(m[2]) >= 6),
@@ -58,3 +58,14 @@ def test_query_and_redaction(spark, sf="/root/testdata/sf0.001"):
 
 def test_empty(spark):
     assert find_secrets(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_optional_parts_between_literals(spark):
+    rules = [Rule("live", r"sk_?live_[0-9a-z]{24}"), Rule("mid", r"abc(de|f)?ghi"), Rule("cls", r"tok[0-9]?enx"), Rule("many", r"uvw(xy)*zzz")]
+    texts = [f"k {a}{'0a' * 12} z" for a in ("sklive_", "sk_live_", "sk__live_")] + ["abcghi", "abcdeghi", "abcfghi", "abcdefghi"]
+    texts += ["tokenx", "tok7enx", "uvwzzz", "uvwxyxyzzz", "", None]
+    rows = find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), rules).collect()
+    for r in rows:
+        want = [(m.start(), n, x.kind, m.end()) for n, x in enumerate(rules) for m in re.finditer(x.regex, r["__text"])]
+        assert [tuple(s) for s in r.spans] == sorted(want)
+    assert sum(len(r.spans) for r in rows) == 9
