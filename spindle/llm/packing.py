@@ -4,14 +4,15 @@ Packing needs only lengths. Pieces are dealt at random to shards of ``SHARD_ITEM
 starts from best-fit decreasing and then runs a swap-based local search: between underfull bins
 it moves a document or exchanges one for one, two for one or one for two, always into the fuller
 bin (so the sum of squared fills rises), until the emptiest bins are empty or nothing helps. A
-shard closes its full bins and gives the pieces of its underfull ones back; those of all shards
-are dealt anew in the next round, which is a small share of the last, until one shard is left.
-So the waste is a few bins in all and not a few a shard, and no task sees more than a shard.
+shard closes its full bins and gives its underfull ones back; those of all shards are dealt anew
+as whole bins in the next round, which packs their pieces afresh or, if that takes no fewer bins,
+goes on from the bins as they came. Rounds end when a round has one shard, frees no bin or leaves none underfull.
+No task sees more than a shard.
 
 Edge cases: null text is empty (its piece is the end id alone); repeated rows are packed as often
 as they stand; only documents over the capacity are cut; an empty table gives an empty result.
-The local search looks at ``SEARCH_BINS`` emptiest bins a shard as sources; that bounds effort,
-and every piece is placed whatever it finds.
+The local search takes its sources in blocks of ``SEARCH_BINS``, emptiest bins first, and goes on
+to the next block once one is stuck; every piece is placed whatever it finds.
 """
 
 from __future__ import annotations
@@ -185,17 +186,24 @@ def best_exchange(src: list[int], dst: list[int], slack: int, lens: list[int]) -
 
 
 def local_search(bins: list[list[int]], lens: list[int], capacity: int, search_bins: int = SEARCH_BINS) -> list[list[int]]:
-    """Empty bins by moves and exchanges that raise the sum of squared fills."""
+    """Empty bins by moves and exchanges that raise the sum of squared fills, until no source is
+    left that one helps. A pair of bins is tried again only if one of them has changed."""
     fill = [sum(lens[i] for i in b) for b in bins]
     least = -(-sum(fill) // capacity)
+    clock, changed, tried = 0, [0] * len(bins), [-1] * len(bins)
     moved = True
     while moved and sum(map(bool, bins)) > least:
         moved = False
         under = sorted((b for b in range(len(bins)) if 0 < fill[b] < capacity), key=lambda b: (fill[b], b))
-        for s in under[:search_bins]:
+        for n, s in enumerate(under):
+            if moved and n % search_bins == 0:
+                break
+            seen, tried[s] = tried[s], clock
             for d in reversed(under):
                 if not bins[s]:
                     break
+                if changed[s] <= seen and changed[d] <= seen:
+                    continue
                 if d == s or not fill[d] or fill[d] >= capacity or (fill[d], d) < (fill[s], s):
                     continue
                 gain, out, back = best_exchange(bins[s], bins[d], capacity - fill[d], lens)
@@ -204,6 +212,8 @@ def local_search(bins: list[list[int]], lens: list[int], capacity: int, search_b
                     bins[s] = [i for i in bins[s] if i not in out] + list(back)
                     fill[d] += gain
                     fill[s] -= gain
+                    clock += 1
+                    changed[s] = changed[d] = clock
                     moved = True
             if sum(map(bool, bins)) <= least:
                 break
@@ -214,8 +224,15 @@ def _shard_packer(capacity: int):
     def pack_shard(key, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["__len", "__row"], ascending=[False, True])
         rows, lens = pdf["__row"].to_numpy(np.int64), pdf["__len"].to_numpy(np.int64).tolist()
+        bins = local_search(best_fit(lens, capacity), lens, capacity)
+        if len(bins) > -(-sum(lens) // capacity):
+            came: dict[int, list[int]] = {}
+            for i, b in enumerate(pdf["__bin"].to_numpy(np.int64).tolist()):
+                came.setdefault(b, []).append(i)
+            if len(came) < len(lens):
+                bins = min(local_search(list(came.values()), lens, capacity), bins, key=len)
         out = []
-        for b, items in enumerate(local_search(best_fit(lens, capacity), lens, capacity)):
+        for b, items in enumerate(bins):
             at, total = 0, sum(lens[i] for i in items)
             for i in items:
                 out.append((rows[i], lens[i], key[0], b, at, (capacity - total) * OPEN_SLACK > capacity))
@@ -233,23 +250,25 @@ def pack(pieces: DataFrame, length: str = "length", capacity: int = CAPACITY) ->
     prepare(pieces.sparkSession)
     keep = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
     all_ = staged(pieces.select(*keep).withColumn("__row", F.monotonically_increasing_id()), "pieces")
-    todo = all_.where(F.col(length) < capacity).select("__row", F.col(length).cast("long").alias("__len"))
+    todo = all_.where(F.col(length) < capacity).select("__row", F.col(length).cast("long").alias("__len"), F.col("__row").alias("__bin"))
     placed, round_, n = [], 0, todo.count()
+    open_bins = n  # bins that the round's pieces stand in: one a piece at first
     while n:
         shards = -(-n // SHARD_ITEMS)
-        dealt = todo.withColumn("shard", F.pmod(F.xxhash64("__row", F.lit(round_)), F.lit(shards)))
+        dealt = todo.withColumn("shard", F.pmod(F.xxhash64("__bin", F.lit(round_)), F.lit(shards)))
         done = staged(
             dealt.groupBy("shard").applyInPandas(_shard_packer(capacity), "__row long, __len long, shard long, bin long, offset long, open boolean"),
             f"packed-{round_}",
         )
-        left = done.where("open").count() if shards > 1 else 0
-        last = left == 0 or left > 0.7 * n
+        first = F.col("offset") == 0  # one row a bin
+        bins, open_now, left = done.agg(F.count_if(first), F.count_if(first & F.col("open")), F.count_if("open")).first()
+        last = shards == 1 or left == 0 or (round_ > 0 and bins >= open_bins)
         closed = done if last else done.where("not open")
-        name = F.lit(round_) * F.lit(1 << 56) + F.col("shard") * F.lit(1 << 20) + F.col("bin")
-        placed.append(closed.select(F.col("__row").alias("__r"), name.alias("sequence_id"), "offset"))
+        local = F.col("shard") * F.lit(1 << 20) + F.col("bin")
+        placed.append(closed.select(F.col("__row").alias("__r"), (F.lit(round_) * F.lit(1 << 56) + local).alias("sequence_id"), "offset"))
         if last:
             break
-        todo, n, round_ = done.where("open").select("__row", "__len"), left, round_ + 1
+        todo, n, open_bins, round_ = done.where("open").select("__row", "__len", local.alias("__bin")), left, open_now, round_ + 1
     full = all_.where(F.col(length) >= capacity)
     out = full.select(*keep, (-F.col("__row") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest = all_.where(F.col(length) < capacity)

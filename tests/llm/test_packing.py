@@ -100,3 +100,20 @@ def test_special_literals_in_rows(spark):
     got = sorted((r.doc_id, r.start, r.length, r.ids_crc32) for r in rows)
     cuts = [(d, a, w[a : a + 4096]) for d, w in enumerate(want) for a in range(0, len(w), 4096)]
     assert got == [(d, a, len(part), zlib.crc32(np.array(part, "<u4").tobytes())) for d, a, part in cuts]
+
+
+def test_search_goes_on_beyond_stuck_sources():
+    lens = [35, 66, 64, 13, 13, 8]  # the emptiest bin is stuck until the next one has made an exchange
+    assert len(P.local_search([[0], [1], [2, 3, 4, 5]], lens, 100, search_bins=1)) == 2
+
+
+def test_rounds_go_on_while_they_free_bins(spark, monkeypatch):
+    monkeypatch.setattr(P, "SHARD_ITEMS", 16)
+    lens = np.random.default_rng(1).integers(1300, 1340, 150).tolist()  # three fill a bin, never full
+    rows = P.pack(spark.createDataFrame([(i, n) for i, n in enumerate(lens)], "doc_id long, length long")).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(len(lens)))
+    fill = defaultdict(list)
+    for r in rows:
+        fill[r.sequence_id].append((r.offset, r.length))
+    assert all(sum(n for _, n in ps) <= 4096 for ps in fill.values())
+    assert len(fill) <= 51, len(fill)
