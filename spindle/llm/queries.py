@@ -10,6 +10,7 @@ from .bpe import decode, encode, ids_digest
 from .common import prepare, read_table
 from .embeddings import embedding_groups
 from .exactdedup import exact_dedup
+from .fertility import quality_rules
 from .packing import pack, token_pieces
 from .quality import quality_scores
 from .secrets import BASE_RULES, RULES, find_secrets, span_text
@@ -181,3 +182,10 @@ def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page as read back from the archives."""
     return archive_pages(read_table(prepare(spark), sf_dir, "pages"), least=0)
+
+
+@query
+def op12_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality rules of every document: base counts and verdict, tokenizer fertility."""
+    docs = read_table(prepare(spark), sf_dir, "documents")
+    return quality_rules(docs, public_tokenizers.path("piece_bpe_32k.model"))
