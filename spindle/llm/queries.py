@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +14,7 @@ from .embeddings import embedding_groups
 from .exactdedup import exact_dedup
 from .fertility import quality_rules
 from .packing import pack, token_pieces
+from .periodic import find_runs
 from .quality import quality_scores
 from .secrets import BASE_RULES, RULES, find_secrets, span_text
 from .simhash import simhash_groups
@@ -189,3 +192,36 @@ def op12_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality rules of every document: base counts and verdict, tokenizer fertility."""
     docs = read_table(prepare(spark), sf_dir, "documents")
     return quality_rules(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def planted_words(doc_id, words: list) -> list:
+    """The contract's words: those of one document in ten turn periodic from some word on. A
+    document without an id stays as it is."""
+    if doc_id is None or not words:
+        return words
+    h = zlib.crc32(str(doc_id).encode())
+    g, n = h // 10, len(words)
+    if h % 10:
+        return words
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + (i - a) % p] for i in range(a, n)]
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document: number, longest one, all of them and the words left as digests."""
+    out = find_runs(read_table(prepare(spark), sf_dir, "documents"), words=planted_words)
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    lines = F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n")))
+    out = out.select("doc_id", F.size("runs").cast("long").alias("n_runs"), longest.alias("__l"), F.array_join(lines, "").alias("__runs"), "kept")
+    return out.select(
+        "doc_id",
+        "n_runs",
+        (-F.col("__l.s")).alias("start"),
+        F.col("__l.length").alias("length"),
+        (-F.col("__l.p")).alias("period"),
+        F.expr("(1000 * __l.length) div -__l.p").alias("exponent_milli"),
+        F.sha2("__runs", 256).alias("runs_sha256"),
+        F.sha2("kept", 256).alias("collapsed_sha256"),
+    )
