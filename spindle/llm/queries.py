@@ -15,6 +15,7 @@ from .exactdedup import exact_dedup
 from .fertility import quality_rules
 from .packing import pack, token_pieces
 from .periodic import find_runs
+from .prefixtrie import numbered_turns, prefix_trie
 from .quality import quality_scores
 from .secrets import BASE_RULES, RULES, find_secrets, span_text
 from .simhash import simhash_groups
@@ -225,3 +226,60 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("__runs", 256).alias("runs_sha256"),
         F.sha2("kept", 256).alias("collapsed_sha256"),
     )
+
+
+def rebuilt_turns(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The contract's conversations: (turns, members). Conversation c takes the first h turns of
+    conversation c - c % 5, then its own after its first h."""
+    turns = numbered_turns(conversations)
+    h = F.pmod(F.crc32(F.col("conv").cast("string").cast("binary")), F.lit(9))
+    members = conversations.where("conv_id IS NOT NULL").select(F.col("conv_id").cast("long").alias("conv")).distinct()
+    heads = turns.where("conv % 5 = 0 AND pos < 8").select(F.col("conv").alias("base"), "pos", "digest", "bytes")
+    takes = members.select("conv", h.alias("h"), (F.col("conv") - F.col("conv") % 5).alias("base"))
+    front = heads.join(takes, "base").where("pos < h").select("conv", "pos", "digest", "bytes")
+    # only members whose base is shorter than h need its length: their own turns follow earlier
+    found = heads.groupBy("base").agg(F.count(F.lit(1)).alias("n"))
+    short = takes.join(found, "base", "left").select("conv", F.coalesce("n", F.lit(0)).alias("n"), "h").where("n < h").select("conv", "n")
+    own = turns.where(F.col("pos") >= h).join(short, "conv", "left")
+    tail = own.select("conv", (F.col("pos") - h + F.coalesce("n", h)).alias("pos"), "digest", "bytes")
+    return front.unionByName(tail), members
+
+
+@query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of rebuilt conversations."""
+    return prefix_trie(*rebuilt_turns(read_table(prepare(spark), sf_dir, "conversations")))
+
+
+SQL["op11_prefix_trie"] = r"""
+WITH t AS (
+  SELECT conv_id AS c, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS d, strlen(coalesce(text, '')) AS b, turn FROM conversations WHERE conv_id IS NOT NULL
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, d) - 1 AS p FROM t
+), m AS (
+  SELECT c, xor(list_reduce(list_transform(string_split(c::varchar, ''), lambda x: ascii(x)::bigint),
+                            lambda a, x: list_reduce(range(8), lambda v, i: xor(v >> 1, 3988292384 * (v & 1)), xor(a, x)), 4294967295::bigint), 4294967295) % 9 AS h
+  FROM (SELECT DISTINCT c FROM o)
+), r AS (
+  SELECT m.c, 0 AS part, o.p, o.d, o.b FROM m JOIN o ON o.c = m.c - m.c % 5 AND o.p < m.h
+  UNION ALL SELECT m.c, 1, o.p, o.d, o.b FROM m JOIN o ON o.c = m.c AND o.p >= m.h
+), l AS (
+  SELECT m.c, coalesce(list(r.d ORDER BY part, p) FILTER (r.d IS NOT NULL), []) AS ds, coalesce(list(r.b ORDER BY part, p) FILTER (r.b IS NOT NULL), []) AS bs FROM m LEFT JOIN r ON r.c = m.c GROUP BY m.c
+), x AS (
+  SELECT c, len(ds) AS n, unnest(range(len(ds) + 1)) AS depth, ds, bs FROM l
+), y AS (
+  SELECT c, n, depth, array_to_string(ds[1:depth], '') AS k, array_to_string(ds[1:depth - 1], '') AS pk, CASE WHEN depth > 0 THEN bs[depth] ELSE 0 END AS b FROM x
+), g AS (
+  SELECT k, any_value(CASE WHEN depth > 0 THEN pk END) AS pk, any_value(depth) AS depth, min(c) AS conv_id, count(*) AS n_convs, any_value(b) AS b,
+         sha256(coalesce(string_agg(c::varchar, ',' ORDER BY c) FILTER (n = depth), '')) AS ends_sha256
+  FROM y GROUP BY k
+), ch AS (
+  SELECT pk AS k, count(*) AS n FROM g WHERE depth > 0 GROUP BY pk
+), a AS (
+  SELECT substr(g.k, 1, 32 * q) AS k, sum(CASE WHEN ch.n IS NULL THEN 1 ELSE 0 END) AS n_leaves, sum((g.n_convs - 1) * g.b) AS saved_tokens
+  FROM (SELECT *, unnest(range(depth + 1)) AS q FROM g) g LEFT JOIN ch ON ch.k = g.k GROUP BY 1
+)
+SELECT g.conv_id, g.depth, p.conv_id AS parent_conv_id, g.n_convs, coalesce(ch.n, 0) AS n_children,
+       a.n_leaves::bigint AS n_leaves, a.saved_tokens::bigint AS saved_tokens, g.ends_sha256
+FROM g JOIN a ON a.k = g.k LEFT JOIN ch ON ch.k = g.k LEFT JOIN g p ON p.k = g.pk AND g.depth > 0
+"""
