@@ -237,9 +237,9 @@ def find_runs(
     def keep(col: pa.Array, found: pa.Array) -> pa.Array:
         return pa.array([b" ".join(kept_words(w.split(b" "), [(x["start"], x["length"], x["period"]) for x in r])) for w, r in zip(col.to_pylist(), found.to_pylist())], pa.binary())
 
-    found = rows.select("__id", "__row", "words").join(runs, "__row", "left")
-    none = F.array().cast(RUN).alias("runs")
-    hit = found.where("runs IS NOT NULL").select("__id", "words", "runs", keep("words", "runs").alias("kept"))
-    rest = found.where("runs IS NULL").select("__id", "words", none, F.col("words").alias("kept"))
-    clean = base.mapInArrow(_explode(words, False), schema).select("__id", "words", none, F.col("words").alias("kept"))
-    return hit.unionByName(rest).unionByName(clean).withColumnRenamed("__id", id_col)
+    none = F.array().cast(RUN)
+    # always shuffled: the documents with tiles grow with the corpus, and so do their runs
+    found = rows.select("__id", "__row", "words").join(runs.hint("merge"), "__row", "left")
+    found = found.select("__id", "words", F.coalesce("runs", none).alias("runs")).select("*", keep("words", "runs").alias("kept"))
+    clean = base.mapInArrow(_explode(words, False), schema).select("__id", "words", none.alias("runs"), F.col("words").alias("kept"))
+    return found.unionByName(clean).withColumnRenamed("__id", id_col)
