@@ -53,8 +53,9 @@ def tile_words(octave: int) -> int:
     return max(TILE_WORDS, 8 << octave)
 
 
-def active_tiles(ids: np.ndarray) -> list[tuple[int, int]]:
-    """(octave, first word) of the tiles that may see a run."""
+def active_tiles(ids: np.ndarray) -> list[tuple[int, int, int]]:
+    """(octave, first word, one past the last word) of the tiles that may see a run, each narrowed
+    to what a run can reach from its boundaries with a window that comes again."""
     out = []
     at, name = np.arange(len(ids)), ids  # positions of windows that recur, and their names
     octave = 0
@@ -73,12 +74,19 @@ def active_tiles(ids: np.ndarray) -> list[tuple[int, int]]:
         order = np.argsort(name, kind="stable")  # by name, then position
         p, same = at[order], name[order][1:] == name[order][:-1]
         gap = np.where(same, p[1:] - p[:-1], 0)
-        begin = p[:-1][(gap >= h) & (gap < 2 * h) & (p[:-1] % h == 0)]
+        begin = np.sort(p[:-1][(gap >= h) & (gap < 2 * h) & (p[:-1] % h == 0)])
         if len(begin):
-            size, reach = tile_words(octave), 4 * h
-            first = np.unique(begin // size)
-            before = begin[(begin % size < reach) & (begin >= size)] // size - 1  # also seen by the tile before
-            out += [(octave, int(t) * size) for t in np.union1d(first, before)]
+            size = tile_words(octave)
+            tile, first, count = np.unique(begin // size, return_index=True, return_counts=True)
+            spans = {int(t): (int(begin[f]), int(begin[f + n - 1])) for t, f, n in zip(tile, first, count)}
+            for t in tile.tolist():  # boundaries in the overlap belong to the tile before as well
+                over = begin[(begin >= t * size) & (begin < t * size + 4 * h)] if t else begin[:0]
+                if len(over):
+                    low, _ = spans.get(t - 1, (int(over[0]), 0))
+                    spans[t - 1] = (low, int(over[-1]))
+            for t, (low, high) in sorted(spans.items()):
+                # a run begins less than h before its first such boundary and ends less than 3h and a period after its last
+                out.append((octave, max(t * size, low - 2 * h), min(t * size + size + 6 * h, high + 6 * h, len(ids))))
         octave += 1
     return out
 
@@ -172,9 +180,9 @@ def _explode(hook, with_tiles: bool):
     """Rows (id, words, tiles) of the documents that have tiles, or of those that have none."""
 
     def run(batches):
-        for b in batches:
+        for batch in batches:
             at, words, tiles = [], [], []
-            for n, (doc, text) in enumerate(zip(b.column("__id").to_pylist(), b.column("__text").to_pylist())):
+            for n, (doc, text) in enumerate(zip(batch.column("__id").to_pylist(), batch.column("__text").to_pylist())):
                 ws = (text or b"").split()
                 if hook is not None:
                     ws = hook(doc, ws)
@@ -183,8 +191,8 @@ def _explode(hook, with_tiles: bool):
                 if bool(active) == with_tiles:
                     at.append(n)
                     words.append(b" ".join(ws))
-                    tiles.append([{"octave": k, "at": a, "ids": ids[a : a + tile_words(k) + (6 << k)].astype("<i4").tobytes()} for k, a in active])
-            yield pa.RecordBatch.from_arrays([b.column("__id").take(pa.array(at, pa.int64())), pa.array(words, pa.binary()), pa.array(tiles, pa.list_(TILE))], ["__id", "words", "tiles"])
+                    tiles.append([{"octave": k, "at": a, "ids": ids[a:b].astype("<i4").tobytes()} for k, a, b in active])
+            yield pa.RecordBatch.from_arrays([batch.column("__id").take(pa.array(at, pa.int64())), pa.array(words, pa.binary()), pa.array(tiles, pa.list_(TILE))], ["__id", "words", "tiles"])
 
     return run
 
