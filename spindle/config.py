@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 # Fixed values that must equal the reference's defaults for equal results.
 # Default sentiment label set, in this order:
@@ -34,6 +34,7 @@ LENGTH_LIMITS = {
 ERR_SENTIMENT = "Overall sentiment analysis failed or returned no result for non-empty text."
 ERR_TOPIC = "Topic modeling (transform) returned no result for non-empty text."
 ERR_TOPIC_MODEL = "BERTopic model is not loaded, skipping topic modeling."
+ERR_TOPIC_ENCODER = "BERTopic model is loaded, but its SBERT embedding_model is missing. Skipping topic modeling."
 
 
 @dataclass(frozen=True)
@@ -41,13 +42,6 @@ class EngineConfig:
     batch_size: int = 50  # rows per scheduled batch
     interval_minutes: int = 15  # scheduler interval
     top_n_keywords: int = 10
-    labels: list[str] = field(default_factory=lambda: list(DEFAULT_LABELS))
     mark_in_source: bool = True
     model_version: str = MODEL_VERSION
-    # vector-mode topics
-    min_cosine: float = 0.15
-    temperature: float = 0.05
-    # label prototypes
-    proto_temperature: float = 0.05
-    # upper bound for side tables that are broadcast (rows); checked before each broadcast
-    max_broadcast_rows: int = 2_000_000
+    compact_log: bool = True  # fold each batch's log entries into the latest ones

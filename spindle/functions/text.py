@@ -18,12 +18,6 @@ def non_blank(c: Column | str) -> Column:
     return c.rlike(_NON_BLANK)
 
 
-def is_blank(c: Column | str) -> Column:
-    """True for NULL or all-white-space text (the reference's ``not t or not t.strip()``)."""
-    c = F.col(c) if isinstance(c, str) else c
-    return F.coalesce(~non_blank(c), F.lit(True))
-
-
 def word_tokens(c: Column | str) -> Column:
     """Lower-cased letter runs of a text, in order; NULL text gives NULL."""
     c = F.col(c) if isinstance(c, str) else c

@@ -14,7 +14,10 @@ from pyspark.sql import functions as F
 from spindle.config import DEFAULT_LABELS
 from spindle.functions.jsonlist import parse_string_list
 from spindle.functions.text import keyword_language, non_blank
+from spindle.functions.topics import topic_probability
+from spindle.operators.analysis import enrich_with
 from spindle.operators.keywords import flat_keywords, keyword_summary, with_keywords
+from spindle.operators.scoring import model_scorer, model_topics, term_topics
 from spindle.operators.validate import normalize, validate
 from spindle.plans.common import r6, size_or_null, ts_text, valid_backlog, validated_backlog
 from spindle.schemas import REQUEST_JSON, SOURCE_COLUMNS
@@ -343,6 +346,17 @@ def q_topic_probability(spark, sf_dir):
     return a.select("vec_id", r6("probability").alias("max_probability"))
 
 
+@register("topic_probability_forms")
+def q_topic_probability_forms(spark, sf_dir):
+    """AGG-6/SC-6: the probability from a number, from a distribution over topics, and from neither."""
+    emb = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    a = tp.assign_topics_vector(emb, ["vec_id"], "embedding", fx.topic_centroids(spark, sf_dir))
+    p, rest = F.col("probability"), 1 - F.col("probability")
+    forms = {"number": (p, F.lit(None).cast("array<double>")), "distribution": (F.lit(None).cast("double"), F.array(rest / 2, p, rest / 2)), "none": (F.lit(None).cast("double"), F.lit(None).cast("array<double>"))}
+    rows = [F.struct(F.lit(k).alias("form"), r6(topic_probability(x, xs)).alias("probability")) for k, (x, xs) in forms.items()]
+    return a.select("vec_id", F.inline(F.array(*rows)))
+
+
 @register("topic_centroids")
 def q_topic_centroids(spark, sf_dir):
     """UDF-7 (guided): centroid of each seed label, one row per dimension."""
@@ -365,7 +379,7 @@ def q_topic_fit(spark, sf_dir):
 
 # ---------------------------------------------------------------- enrichment and results
 
-from spindle.plans.common import enriched_backlog  # noqa: E402
+from spindle.plans.common import enriched_backlog, fixture_models  # noqa: E402
 from spindle.sinks import ledger as lg  # noqa: E402
 from spindle.sinks import results as rs  # noqa: E402
 
@@ -394,14 +408,67 @@ def q_enrich_documents(spark, sf_dir):
     )
 
 
+def _flat_analysis(e):
+    t = F.get(F.col("assigned_topics"), 0)
+    summary = F.col("sentiment_on_extracted_keywords_summary")
+    return e.select(
+        "id", _ranking(F.col("overall_sentiment")).alias("sentiment_ranking"), r6(F.get(F.col("overall_sentiment"), 0)["score"]).alias("top_score"),
+        t["id"].alias("topic_id"), t["name"].alias("topic_name"), r6(t["probability"]).alias("topic_probability"),
+        F.size("extracted_keywords_frequency").alias("n_keywords"), _ranking(summary).alias("summary_ranking"),
+        r6(F.get(summary, 0)["score"]).alias("summary_top_score"), F.coalesce(F.size("analysis_errors"), F.lit(0)).alias("n_errors"),
+    )
+
+
+@register("enrich_with_model")
+def q_enrich_with_model(spark, sf_dir):
+    """UDF-6 with a plug-in scorer: both texts of every valid document, each distinct text once."""
+    m = fixture_models(spark, sf_dir)
+    docs = valid_backlog(spark, sf_dir)
+    return _flat_analysis(enrich_with(docs, model_scorer(char_class_model, "char-class"), term_topics(m.topic_terms), m.catalog))
+
+
+def _picky_scorer():
+    """Fails on texts whose length leaves 3 when divided by 7, and with them on any batch that holds one."""
+    model = char_class_model()
+
+    def predict(texts, labels):
+        if any(len(t) % 7 == 3 for t in texts):
+            raise ValueError("a text this model can't read")
+        return model(texts, labels)
+
+    return predict
+
+
+def _picky_topics():
+    """No result where the length leaves 2 when divided by 5; else a topic with a number, a
+    distribution or nothing as its probability."""
+
+    def predict(texts):
+        forms = [lambda n: 0.5, lambda n: [0.25, n % 4 / 4.0], lambda n: None]
+        return [None if len(t) % 5 == 2 else (len(t) % 4, forms[len(t) % 3](len(t))) for t in texts]
+
+    return predict
+
+
 @register("analysis_errors")
 def q_analysis_errors(spark, sf_dir):
-    """AGG-8: per-document error list, with and without a loaded topic model."""
-    full = enriched_backlog(spark, sf_dir).select(F.lit("full").alias("variant"), "id", "analysis_errors")
-    bare = enriched_backlog(spark, sf_dir, with_topics=False).select(F.lit("no_topic_model").alias("variant"), "id", "analysis_errors")
-    return full.unionByName(bare).select(
+    """AGG-8: per-document error list: all models, no topic model, plug-ins that fail on some
+    texts, and neither a scorer nor the topic model's encoder."""
+    m = fixture_models(spark, sf_dir)
+    docs = valid_backlog(spark, sf_dir)
+    variants = {
+        "full": enriched_backlog(spark, sf_dir),
+        "no_topic_model": enriched_backlog(spark, sf_dir, with_topics=False),
+        "failing_texts": enrich_with(docs, model_scorer(_picky_scorer, "picky"), model_topics(_picky_topics, "picky-topics"), m.catalog),
+        "nothing_loaded": enrich_with(docs, None, None, m.catalog),
+    }
+    parts = [e.select(F.lit(v).alias("variant"), "id", "analysis_errors", F.get(F.col("assigned_topics"), 0)["probability"].alias("p")) for v, e in variants.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.select(
         "variant", "id", F.coalesce(F.size("analysis_errors"), F.lit(0)).alias("n_errors"),
-        F.array_join("analysis_errors", " | ").alias("errors"),
+        F.array_join("analysis_errors", " | ").alias("errors"), F.when(F.col("variant") == "failing_texts", r6("p")).alias("topic_probability"),
     )
 
 
@@ -579,7 +646,6 @@ def _stream_run(spark, sf_dir):
     import uuid
 
     from spindle.config import EngineConfig
-    from spindle.plans.common import fixture_models
     from spindle.session import shared_path
     from spindle.streaming import stream
 

@@ -278,6 +278,9 @@ va as (select b.vec_id, cast(case when b.cos >= 0.15 then b.topic_id else -1 end
 
 SQL["topic_assign"] = f"with {CENTROIDS} select vec_id, topic_id, round(probability,6) probability, round(best_cosine,6) best_cosine from va"
 SQL["topic_probability"] = f"with {CENTROIDS} select vec_id, round(probability,6) max_probability from va"
+SQL["topic_probability_forms"] = f"""with {CENTROIDS}
+select vec_id, form, case form when 'number' then round(probability,6) when 'distribution' then round(greatest(probability, (1 - probability) / 2),6) end probability
+from va cross join (values ('number'), ('distribution'), ('none')) f(form)"""
 SQL["topic_centroids"] = f"""with {CENTROIDS} select cast(topic_id as int) topic_id, cast(d - 1 as int) dim, round(m,6) value from cd"""
 
 
@@ -309,10 +312,49 @@ from valid v join kwsum ks using (id) left join kwtext kt using (id)
  left join sent s0 on s0.did = v.id and s0.slot = 0 left join sent s1 on s1.did = v.id and s1.slot = 1
  left join assigned a on a.id = v.id left join cat on cat.topic_id = a.topic_id"""
 
-SQL["analysis_errors"] = f"""{BASE}
-select 'full' variant, id, 0 n_errors, cast(null as varchar) errors from valid
-union all
-select 'no_topic_model', id, 1, 'BERTopic model is not loaded, skipping topic modeling.' from valid"""
+
+
+def char_class_scores(src: str, key: str, text: str) -> str:
+    """The stand-in model: softmax over the shares of code points by their remainder."""
+    return f"""
+mtext as (select {key} id, {text} t from {src} where {nonblank(text)}),
+mlab as (select * from {_label_values(LABELS)}),
+mcode as (select id, unicode(unnest(string_split(t, ''))) % 7 label_pos from mtext),
+mcnt as (select id, label_pos, count(*) n from mcode group by all),
+mx as (select m.id, l.label_pos, l.label, 10.0 * coalesce(c.n, 0) / length(m.t) x
+       from mtext m cross join mlab l left join mcnt c on c.id = m.id and c.label_pos = l.label_pos),
+me as (select *, exp(x - max(x) over (partition by id)) e from mx),
+ms as (select id, label, label_pos, e / sum(e) over (partition by id) score from me),
+mr as (select id, label, score, cast(row_number() over (partition by id order by round(score,8) desc, label_pos) as int) rank from ms)"""
+
+
+SQL["label_scores_model"] = f"with {FEED},{char_class_scores('feed', 'id', 'cleaned_text')} select id, rank, label, round(score,6) score from mr"
+
+SQL["enrich_with_model"] = f"""{BASE},{KW},{TOPIC_TERMS},{TOPIC_INFO},{topic_text('valid')},
+mboth as (select id*2 sid, cleaned_text t from valid union all select id*2+1, summary from kwsum where n_keywords > 0),
+{char_class_scores('mboth', 'sid', 't')},
+msent as (select id // 2 did, id % 2 slot, string_agg(label, ',' order by rank) ranking, max(score) top from mr group by id)
+select v.id, coalesce(s0.ranking, '') sentiment_ranking, round(s0.top, 6) top_score,
+ a.topic_id, {display_name('a.topic_id', 'cat.stored_name', 'coalesce(cat.terms, [])')} topic_name, round(a.probability, 6) topic_probability,
+ cast(ks.n_keywords as int) n_keywords, s1.ranking summary_ranking, round(s1.top, 6) summary_top_score, 0 n_errors
+from valid v join kwsum ks using (id)
+ left join msent s0 on s0.did = v.id and s0.slot = 0 left join msent s1 on s1.did = v.id and s1.slot = 1
+ left join assigned a on a.id = v.id left join cat on cat.topic_id = a.topic_id"""
+
+SQL["analysis_errors"] = f"""{BASE},
+t as (select id, coalesce({nonblank('cleaned_text')}, false) nb, length(cleaned_text) n from valid),
+e as (
+ select 'full' variant, id, [] errs, cast(null as double) p from t
+ union all select 'no_topic_model', id, ['BERTopic model is not loaded, skipping topic modeling.'], null from t
+ union all select 'failing_texts', id, [
+   case when nb and n % 7 = 3 then 'Overall sentiment analysis failed or returned no result for non-empty text.' end,
+   case when nb and n % 5 = 2 then 'Topic modeling (transform) returned no result for non-empty text.' end],
+   case when not nb then 1.0 when n % 5 = 2 then null when n % 3 = 0 then 0.5 when n % 3 = 1 then greatest(0.25, (n % 4) / 4.0) end from t
+ union all select 'nothing_loaded', id, [
+   case when nb then 'Overall sentiment analysis failed or returned no result for non-empty text.' end,
+   'BERTopic model is loaded, but its SBERT embedding_model is missing. Skipping topic modeling.'], null from t),
+f as (select variant, id, list_filter(errs, lambda x: x is not null) errs, p from e)
+select variant, id, cast(len(errs) as int) n_errors, case when len(errs) > 0 then array_to_string(errs, ' | ') end errors, round(p, 6) topic_probability from f"""
 
 LATEST_BY_KEY = "qualify row_number() over (partition by raw_mongo_id order by original_timestamp desc nulls first, id desc) = 1"
 

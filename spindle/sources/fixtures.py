@@ -45,11 +45,6 @@ def doc_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def sentiment_labels(spark: SparkSession, labels: list[str] | None = None) -> DataFrame:
-    labels = labels or DEFAULT_LABELS
-    return spark.createDataFrame([(i, x) for i, x in enumerate(labels)], "label_pos int, label string")
-
-
 def corpus_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(term, n) over every document: a map-side combined count, then a shuffle of distinct terms."""
     docs = read_table(spark, sf_dir, "documents").select("text")

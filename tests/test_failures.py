@@ -1,0 +1,130 @@
+"""One text's failure stays that text's; rows whose store fails come again."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from spindle.config import ERR_SENTIMENT, EngineConfig
+from spindle.operators.labels import char_class_model
+from spindle.operators.scoring import answers, model_scorer
+from spindle.plans import batch as batch_module
+from spindle.plans.batch import AnalysisFailed, process_rows
+from spindle.plans.common import fixture_models
+from spindle.sinks import ledger as lg
+from spindle.sinks import results as rs
+from spindle.sources.backlog import eligible
+from spindle.sources.fixtures import doc_feed
+from spindle.streaming import stream
+
+from .conftest import SF_SMALL
+
+POISON = "poisoned text"
+
+
+def poisoned():
+    model = char_class_model()
+
+    def predict(texts, labels):
+        if POISON in texts:
+            raise RuntimeError("no answer")
+        return model(texts, labels)
+
+    return predict
+
+
+def test_answers_halve_down_to_the_bad_texts():
+    calls = []
+
+    def call(texts):
+        calls.append(len(texts))
+        if "x" in texts:
+            raise ValueError("x")
+        return [t * 2 for t in texts]
+
+    texts = ["a"] * 30 + ["x"] + ["b"] * 32 + ["x"]
+    got = answers(call, texts)
+    assert [a for a, _ in got] == [None if t == "x" else t * 2 for t in texts]
+    assert [e for _, e in got] == ["ValueError: x" if t == "x" else None for t in texts]
+    assert len(calls) < 4 * 7 and answers(call, []) == []
+    assert [e for _, e in answers(lambda ts: ts[1:], ["a", "b"])] == ["ValueError: 0 answers for 1 texts"] * 2
+
+
+def _rows(spark, n=50):
+    feed = eligible(doc_feed(spark, SF_SMALL)).where("original_timestamp is not null and lemmas is null and trim(cleaned_text) <> '' and raw_mongo_id = lpad(cast(id as string), 24, '0')")
+    return feed.orderBy("id").limit(n)
+
+
+@pytest.fixture()
+def models(spark):
+    return fixture_models(spark, SF_SMALL)
+
+
+def test_poisoned_text_leaves_the_others_completed(spark, scratch, models):
+    rows = _rows(spark)
+    ids = sorted(r.id for r in rows.select("id").collect())
+    bad = ids[17]
+    rows = rows.withColumn("cleaned_text", F.when(F.col("id") == bad, POISON).otherwise(F.col("cleaned_text")))
+    models.scorer = model_scorer(poisoned, "poisoned")
+    out = process_rows(spark, rows, 1, models, f"{scratch}/res", f"{scratch}/log")
+    assert out.evaluated == out.succeeded == len(ids) and out.stored
+    assert {r.nlp_status for r in lg.read_log(spark, f"{scratch}/log").collect()} == {"completed"}
+    got = {r.source_id: r for r in rs.read_results(spark, f"{scratch}/res").collect()}
+    assert got[bad].analysis_errors == [ERR_SENTIMENT] and got[bad].overall_sentiment == []
+    assert all(got[i].analysis_errors is None and len(got[i].overall_sentiment) == 7 for i in ids if i != bad)
+
+
+def test_row_that_breaks_the_analysis_fails_alone(spark, scratch, models):
+    rows = _rows(spark, 9)
+    ids = sorted(r.id for r in rows.select("id").collect())
+    bad = ids[4]
+    rows = rows.withColumn("cleaned_text", F.when(F.col("id") == bad, POISON).otherwise(F.col("cleaned_text")))
+
+    def scorer(texts, labels):  # a plug-in that lets its failure through
+        ok = F.when(F.col("text") == POISON, F.raise_error(F.lit("broken"))).otherwise(F.lit("Neutral"))
+        return texts.select("key", F.array(F.struct(ok.cast("string").alias("label"), F.lit(1.0).alias("score"))).alias("scores"))
+
+    models.scorer = scorer
+    out = process_rows(spark, rows, 1, models, f"{scratch}/res", f"{scratch}/log")
+    assert (out.evaluated, out.succeeded, out.failed, out.stored) == (len(ids), len(ids) - 1, 1, True)
+    status = {r.id: r.nlp_status for r in lg.read_log(spark, f"{scratch}/log").collect()}
+    assert status == {i: "failed_nlp_analysis" if i == bad else "completed" for i in ids}
+    assert {r.source_id for r in rs.read_results(spark, f"{scratch}/res").collect()} == set(ids) - {bad}
+
+
+def test_engine_failure_is_not_blamed_on_documents(spark, scratch, models):
+    models.scorer = lambda texts, labels: 1 / 0
+    with pytest.raises(AnalysisFailed):
+        process_rows(spark, _rows(spark, 3), 1, models, f"{scratch}/res", f"{scratch}/log")
+    assert lg.read_log(spark, f"{scratch}/log") is None
+
+
+def test_stream_retries_what_a_failed_store_left(spark, scratch, models, monkeypatch):
+    feed = _rows(spark, 40)
+    ids = {r.id for r in feed.select("id").collect()}
+    stream.write_feed_files(feed, f"{scratch}/in", rows_per_file=10)
+    write, calls = rs.write_upsert, []
+
+    def fails_once(*args, **kw):
+        calls.append(args[3])
+        if len(calls) in (1, fail_last):
+            raise OSError("store is away")
+        return write(*args, **kw)
+
+    monkeypatch.setattr(batch_module.rs, "write_upsert", fails_once)
+    args = (spark, f"{scratch}/in", models, f"{scratch}/res", f"{scratch}/log", f"{scratch}/ckpt")
+    fail_last = 2  # the kept rows fail once more with the second micro-batch
+    stream.start(*args, max_files_per_trigger=2).awaitTermination()
+    while lg.read_retry(spark, f"{scratch}/log", stream.STREAM_SCHEMA)[0] is not None:
+        stream.start(*args, max_files_per_trigger=2).awaitTermination()  # no new files: the kept rows go alone
+    last = {r.id: r.nlp_status for r in lg.latest_status(lg.read_log(spark, f"{scratch}/log")).collect()}
+    assert set(last) == ids and set(last.values()) == {"completed"}
+    assert {r.source_id for r in rs.read_results(spark, f"{scratch}/res").collect()} == ids
+
+
+def test_batch_runner_stops_at_a_failed_store(spark, scratch, models, monkeypatch):
+    def away(*args, **kw):
+        raise OSError("store is away")
+
+    monkeypatch.setattr(batch_module.rs, "write_upsert", away)
+    out = batch_module.run_until_empty(spark, _rows(spark, 6), models, f"{scratch}/res", f"{scratch}/log", EngineConfig(batch_size=2))
+    assert len(out) == 1 and not out[0].stored and "store is away" in out[0].error
+    assert {r.nlp_status for r in lg.read_log(spark, f"{scratch}/log").collect()} == {"pending_nlp_store_verification"}
