@@ -22,6 +22,7 @@ import os
 import re
 from bisect import bisect_left, insort
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -42,6 +43,54 @@ BLOCK_BYTES = 1 << 21
 PIECE = pa.struct([("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())])
 
 
+class RowMerger(Merger):
+    """The same merges for many short pieces: the lowest rank of a row of up to ``ROW_BYTES`` is found
+    by one pass over the row, which costs less than a tree's upkeep; longer pieces take the trees."""
+
+    ROW_BYTES = 32
+
+    def _merge_block(self, pieces: list[bytes], size: int) -> list[bytes]:
+        if size > self.ROW_BYTES:
+            return super()._merge_block(pieces, size)
+        m, none = len(pieces), np.int32(2**31 - 1)
+        lens = np.fromiter(map(len, pieces), np.int64, m)
+        inside = np.arange(size) < lens[:, None]
+        code = np.full((m, size), -1, np.int32)
+        code[inside] = self.first[np.frombuffer(b"".join(pieces), np.uint8)]
+        code[np.arange(m), lens - 1] = self.last[np.fromiter((p[-1] for p in pieces), np.int64, m)]
+        rank = np.full((m, size), none, np.int32)
+        r, c = np.nonzero(inside[:, 1:])
+        got = self.pairs.get(code[r, c].astype(np.int64), code[r, c + 1].astype(np.int64))
+        rank[r, c] = np.minimum(got, none)
+        nxt = np.tile(np.arange(1, size + 1), (m, 1))
+        nxt[nxt >= lens[:, None]] = size
+        prv = np.tile(np.arange(-1, size - 1), (m, 1))
+        flat, code_, nxt_, prv_ = rank.reshape(-1), code.reshape(-1), nxt.reshape(-1), prv.reshape(-1)
+        act = np.flatnonzero(rank.min(1) < none)
+        while len(act):
+            at = act * size
+            i = at + rank[act].argmin(1)  # the leftmost of the lowest
+            made = flat[i].astype(np.int64)
+            j = at + nxt_[i]
+            k = nxt_[j]
+            code_[i], code_[j] = made, -1
+            flat[i] = flat[j] = none
+            nxt_[i] = k
+            has = np.flatnonzero(k < size)
+            after = at[has] + k[has]
+            prv_[after] = i[has] - at[has]
+            flat[i[has]] = np.minimum(self.pairs.get(made[has], code_[after].astype(np.int64)), none)
+            before = prv_[i]
+            has = np.flatnonzero(before >= 0)
+            left = at[has] + before[has]
+            flat[left] = np.minimum(self.pairs.get(code_[left].astype(np.int64), made[has]), none)
+            act = act[rank[act].min(1) < none]
+        keep = code >= 0
+        ids = code[keep].tobytes()
+        ends = np.cumsum(keep.sum(axis=1) * 4).tolist()
+        return [ids[a:b] for a, b in zip([0, *ends], ends)]
+
+
 class WordTokenizer:
     """ids of a library tokenizer whose tokens never cross white space, with a word cache.
 
@@ -52,7 +101,10 @@ class WordTokenizer:
     normalised, give their one id wherever they stand, as in the library's plain call.
     """
 
-    PLAIN = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]*)")
+    # bytes of small Latin letters in valid UTF-8 (the second bytes follow 0xC3 alone, all other
+    # leading bytes being absent), and the marks that may end a word
+    LETTERS = bytes([*range(ord("a"), ord("z") + 1), 0xC3, *range(0x9F, 0xB7), *range(0xB8, 0xC0)])
+    MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum() and chr(b) != "'")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -80,16 +132,28 @@ class WordTokenizer:
         hidden = [b for b in range(256) if b not in shown]
         char = {b: chr(b) for b in shown} | {b: chr(256 + n) for n, b in enumerate(hidden)}
         first, last = (np.array([vocab[char[b] + e] for b in range(256)], np.int64) for e in ("", end))
-        self.merger = Merger(PairTable(pairs, len(vocab) + 2), first, last)
-
-    def _fill(self, words: list[bytes]) -> None:
-        cache, match = self.cache, self.PLAIN.fullmatch
-        matches = [match(w) for w in words]
-        other = [w for w, m in zip(words, matches) if m is None]
-        plain = [m.group(0, 1, 2) for m in matches if m is not None]
-        new = list({p for _, a, b in plain for p in (a, b) if p and p not in cache})
-        cache.update(zip(new, self.merger.merge(new)))
-        cache.update([(w, cache[a] + cache[b]) for w, a, b in plain if b])
+        self.merger = RowMerger(PairTable(pairs, len(vocab) + 2), first, last)
+
+    def _fill(self, words: set[bytes]) -> None:
+        """Ids of words that the cache lacks."""
+        cache, letters, marks = self.cache, self.LETTERS, self.MARKS
+        plain, other, new = [], [], set()
+        for w in words:
+            a = w.rstrip(marks)
+            if not a or a.translate(None, letters):
+                other.append(w)
+                continue
+            if a not in cache:
+                new.add(a)
+            if len(a) < len(w):
+                b = w[len(a) :]
+                plain.append((w, a, b))
+                if b not in cache:
+                    new.add(b)
+        parts = list(new)
+        cache.update(zip(parts, self.merger.merge(parts)))
+        for w, a, b in plain:
+            cache[w] = cache[a] + cache[b]
         if other:
             got = self.lib.encode_batch_fast([w.decode() for w in other], add_special_tokens=False)
             cache.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(other, got, strict=True))
@@ -113,14 +177,10 @@ class WordTokenizer:
                 b += 1
             trim(self.cache, CACHE_WORDS)
             self.cache.update(self.literals)
-            get = self.cache.get
             words = list(map(self._words, texts[a:b]))
-            found = [list(map(get, ws)) for ws in words]
-            open_ = [(n, k) for n, ids in enumerate(found) if None in ids for k, x in enumerate(ids) if x is None]
-            self._fill(list({words[n][k] for n, k in open_}))
-            for n, k in open_:
-                found[n][k] = get(words[n][k])
-            out += map(b"".join, found)
+            self._fill(set(chain.from_iterable(words)).difference(self.cache))  # each distinct word of the block once
+            get = self.cache.__getitem__
+            out += [b"".join(map(get, ws)) for ws in words]
             a = b
         return out
 
