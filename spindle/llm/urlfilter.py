@@ -9,8 +9,12 @@ alone, without a join. One cascade holds the allowed and one the blocked keys; o
 keys the longest one decides (then the one with the longer host), and a URL without one gets the
 method's verdict for what is not listed: allow.
 
-The filters are broadcast; their size is the list's (a few bytes a key), checked against
-``MAX_KEYS``. Beyond it the listed keys are looked up by a shuffled join instead.
+Only listed keys that the universe holds are encoded. A level's false-positive rate follows from the
+keys it must tell apart, so that its mistakes stay below the number of keys it encodes, whatever the
+universe's size. A level's bits lie in segments; a segment is set in one task from its own keys.
+Keys are dealt by hash into groups of about ``GROUP_KEYS`` listed ones, each with a cascade of its own,
+so a broadcast holds one group (some 60 bits a listed key at most, and 8 times the root of the universe) however long the list is. Each
+group is one pass over the URLs, without a shuffle; lists of up to ``GROUP_KEYS`` take one pass.
 
 Edge cases: null URLs and URLs without ``://`` have an empty host and path and fit no rule; a rule
 of an empty host fits nothing; of equal keys in both lists block wins; an empty table gives an
@@ -19,17 +23,21 @@ empty result.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, prepare, staged
 
-MAX_KEYS = 8_000_000
-BITS_PER_KEY = 8
-HASHES = 4
+GROUP_KEYS = 4_000_000
+SEGMENT_BITS = 1 << 23
+LEAST_HASHES = 5  # a level passes at most about 1 of 32 other keys
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
+ALLOW, BLOCK = 1, 2
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -39,27 +47,47 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 
 class Bloom:
-    def __init__(self, h: np.ndarray, level: int):
-        """``h``: two 64-bit hashes of each key, as rows."""
-        self.level = level
-        self.size = np.uint64(max(64, len(h) * BITS_PER_KEY))
-        bits = np.zeros(int(self.size), bool)
-        for at in self._places(h):
-            bits[at] = True
-        self.bits = np.packbits(bits)
+    """One level: ``bits`` are the segments' bits, each of ``seg_bits``."""
 
-    def _places(self, h: np.ndarray):
+    def __init__(self, level: int, encoded: int, others: int, bits: np.ndarray | None = None):
+        """For ``encoded`` keys against ``others``: at most about half as many mistakes as keys."""
+        self.level = level
+        self.hashes = max(LEAST_HASHES, math.ceil(math.log2(max(1.0, 2 * others / max(1, encoded)))))
+        # two hashes give a filter of m bits m * m patterns, which must outnumber the other keys by far
+        need = max(64, math.ceil(encoded * self.hashes * 1.45), math.ceil(8 * math.sqrt(others)))
+        self.segments = -(-need // SEGMENT_BITS)
+        self.seg_bits = -(-need // self.segments) + 7 & ~7
+        self.bits = bits
+
+    def _mixed(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         with np.errstate(over="ignore"):
             a = (h[:, 0] ^ np.uint64(self.level * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xFF51AFD7ED558CCD)
             a ^= a >> np.uint64(33)
             b = (h[:, 1] + np.uint64(self.level)) * np.uint64(0xC4CEB9FE1A85EC53) | np.uint64(1)
-            b ^= b >> np.uint64(29)
-            for k in range(HASHES):
-                yield ((a + np.uint64(k) * b) % self.size).astype(np.int64)
+            return a, b ^ (b >> np.uint64(29))
+
+    def segment(self, h: np.ndarray) -> np.ndarray:
+        a, b = self._mixed(h)
+        return ((b >> np.uint64(20)) % np.uint64(self.segments)).astype(np.int64)
+
+    def _places(self, h: np.ndarray):
+        """Places inside the key's segment."""
+        a, b = self._mixed(h)
+        with np.errstate(over="ignore"):
+            for k in range(self.hashes):
+                yield ((a + np.uint64(k) * b) % np.uint64(self.seg_bits)).astype(np.int64)
+
+    def set_segment(self, h: np.ndarray) -> bytes:
+        """The bits of one segment with the keys ``h``."""
+        bits = np.zeros(self.seg_bits, bool)
+        for at in self._places(h):
+            bits[at] = True
+        return np.packbits(bits).tobytes()
 
     def passes(self, h: np.ndarray) -> np.ndarray:
-        ok = np.ones(len(h), bool)
+        ok, base = np.ones(len(h), bool), self.segment(h) * self.seg_bits
         for at in self._places(h):
+            at = base + at
             ok &= (self.bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
         return ok
 
@@ -79,9 +107,27 @@ def _hashes(keys: Column) -> list[Column]:
     return [F.xxhash64(keys).alias("h1"), F.xxhash64(keys, F.lit("second")).alias("h2")]
 
 
-def _array(df: DataFrame) -> np.ndarray:
-    pdf = df.select("h1", "h2").toPandas()
-    return pdf.to_numpy(np.int64).view(np.uint64).reshape(-1, 2)
+def _pairs(*columns: pa.Array) -> np.ndarray:
+    return np.stack([c.to_numpy(zero_copy_only=False) for c in columns], axis=1).view(np.uint64)
+
+
+def _level(encoded: DataFrame, level: Bloom) -> Bloom:
+    """The level with its bits: keys are dealt to their segments, and each segment is set in a task."""
+
+    @F.arrow_udf("long")
+    def segment(h1: pa.Array, h2: pa.Array) -> pa.Array:
+        return pa.array(level.segment(_pairs(h1, h2)), pa.int64())
+
+    def fill(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"segment": [key[0]], "bits": [level.set_segment(pdf[["h1", "h2"]].to_numpy(np.int64).view(np.uint64))]})
+
+    parts = encoded.select("h1", "h2", segment("h1", "h2").alias("segment")).groupBy("segment").applyInPandas(fill, "segment long, bits binary")
+    size = level.seg_bits // 8
+    bits = np.zeros(level.segments * size, np.uint8)
+    for p in parts.collect():  # bits of one group's level
+        bits[p["segment"] * size :][:size] = np.frombuffer(p["bits"], np.uint8)
+    level.bits = bits
+    return level
 
 
 def _passing(keys: DataFrame, level: Bloom) -> DataFrame:
@@ -89,26 +135,20 @@ def _passing(keys: DataFrame, level: Bloom) -> DataFrame:
 
     def keep(batches):
         for b in batches:
-            h = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in ("h1", "h2")], axis=1).view(np.uint64)
-            yield b.filter(pa.array(shared.value.passes(h)))
+            yield b.filter(pa.array(shared.value.passes(_pairs(b.column("h1"), b.column("h2")))))
 
     return keys.mapInArrow(keep, keys.schema)
 
 
-def build_cascade(listed: DataFrame, universe: DataFrame) -> list[Bloom] | None:
-    """Filters for the keys of ``listed`` against ``universe`` (both: column ``key``, distinct);
-    None if a level holds more keys than ``MAX_KEYS``."""
-    ours = listed.select("key", *_hashes(F.col("key")))
-    others = universe.join(listed, "key", "left_anti").select("key", *_hashes(F.col("key")))
-    levels, encoded, other = [], ours, others
-    while True:
-        n = encoded.count()
-        if n > MAX_KEYS:
-            return None
-        if not n and levels:
-            return levels
-        levels.append(Bloom(_array(encoded), len(levels)))
-        encoded, other = staged(_passing(other, levels[-1]), f"cascade-{len(levels)}"), encoded
+def build_cascade(encoded: DataFrame, others: DataFrame) -> list[Bloom]:
+    """Filters that tell ``encoded`` from ``others`` (both: distinct keys as ``h1``, ``h2``)."""
+    levels: list[Bloom] = []
+    n, m = encoded.count(), others.count()
+    while n or not levels:
+        levels.append(_level(encoded, Bloom(len(levels), n, m)))
+        encoded, others = staged(_passing(others, levels[-1]), f"cascade-{len(levels)}"), encoded
+        n, m = encoded.count(), n
+    return levels
 
 
 def candidate_keys(host: Column, path: Column, path_lengths: list[int], labels: int) -> Column:
@@ -139,40 +179,43 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url:
     host, path = host_and_path(F.col(url))
     asked = pages.select(F.col(id_col).alias("__id"), host.alias("host"), path.alias("path"))
     asked = asked.withColumn("keys", candidate_keys(F.col("host"), F.col("path"), lengths, labels))
-    universe = staged(asked.select(F.explode("keys.key").alias("key")).distinct(), "universe")
     keys = rules.groupBy(F.concat("host", "path").alias("key")).agg(F.max("verdict").alias("verdict"))  # block over allow
-    lists = {v: build_cascade(keys.where(F.col("verdict") == v).select("key"), universe) for v in ("block", "allow")}
+    universe = asked.select(F.explode("keys.key").alias("key")).distinct().join(keys, "key", "left")
+    universe = staged(universe.select(*_hashes(F.col("key")), "verdict"), "universe")
+    longest = max([0, *(r["n"] for r in universe.where("verdict IS NOT NULL").groupBy("verdict").agg(F.count(F.lit(1)).alias("n")).collect())])
+    groups = max(1, -(-longest // GROUP_KEYS))
+    got = asked.withColumn("h1", _key_hashes(0)).withColumn("h2", _key_hashes(1)).withColumn("mark", F.transform("keys", lambda k: F.lit(0).cast("tinyint")))
+    for g in range(groups):
+        own = universe.where(F.pmod(F.col("h2"), F.lit(groups)) == g)
+        lists = {v: build_cascade(own.where(F.col("verdict") == v), own.where(~F.col("verdict").eqNullSafe(F.lit(v)))) for v in ("block", "allow")}
+        got = got.withColumn("mark", _marker(spark, lists, g, groups)("h1", "h2", "mark"))
+        if g + 1 < groups:
+            got = staged(got, f"marked-{g}")  # no task holds the filters of two groups
     discard(universe)
-    if None in lists.values():
-        return _judge_by_join(asked, keys, id_col, default)
+    at = F.array_position(F.transform("mark", lambda m: m > 0), True).cast("int")
+    got = got.withColumn("at", F.when(at > 0, at))
+    rule, mark = F.try_element_at(F.col("keys.key"), F.col("at")), F.try_element_at(F.col("mark"), F.col("at"))
+    verdict = F.when(mark == BLOCK, F.lit("block")).when(mark == ALLOW, F.lit("allow")).otherwise(F.lit(default))
+    return got.select(F.col("__id").alias(id_col), "host", "path", rule.alias("rule"), verdict.alias("verdict"))
+
+
+def _marker(spark, lists: dict[str, list[Bloom]], group: int, groups: int):
+    """A column function: the marks of a URL's keys, those of ``group`` looked up in its filters."""
     shared = spark.sparkContext.broadcast(lists)
 
-    @F.arrow_udf("struct<at int, verdict string>")
-    def decide(h1: pa.Array, h2: pa.Array) -> pa.Array:
-        h = np.stack([h1.flatten().to_numpy(), h2.flatten().to_numpy()], axis=1).view(np.uint64)
-        blocked, allowed = (is_member(shared.value[v], h) for v in ("block", "allow"))
-        at, verdict, start = [], [], 0
-        for n in h1.value_lengths().to_pylist():
-            hit = np.flatnonzero((blocked | allowed)[start : start + n])
-            at.append(int(hit[0]) + 1 if len(hit) else None)
-            verdict.append(None if not len(hit) else "block" if blocked[start + hit[0]] else "allow")
-            start += n
-        return pa.StructArray.from_arrays([pa.array(at, pa.int32()), pa.array(verdict, pa.string())], ["at", "verdict"])
+    @F.arrow_udf("array<tinyint>")
+    def mark(h1: pa.Array, h2: pa.Array, marks: pa.Array) -> pa.Array:
+        h = _pairs(h1.flatten(), h2.flatten())
+        out = marks.flatten().to_numpy(zero_copy_only=False).copy()
+        own = np.flatnonzero(h[:, 1].view(np.int64) % groups == group)
+        for name, code in (("allow", ALLOW), ("block", BLOCK)):
+            out[own[is_member(shared.value[name], h[own])]] = code
+        ends = np.cumsum([0, *(n or 0 for n in h1.value_lengths().to_pylist())])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(out, pa.int8()))
 
-    h1, h2 = _key_hashes(0), _key_hashes(1)
-    got = asked.withColumn("got", decide(h1, h2))
-    rule = F.try_element_at(F.col("keys.key"), F.col("got.at"))
-    return got.select(F.col("__id").alias(id_col), "host", "path", rule.alias("rule"), F.coalesce("got.verdict", F.lit(default)).alias("verdict"))
+    return mark
 
 
 def _key_hashes(n: int) -> Column:
     return F.transform("keys", lambda k: _hashes(k["key"])[n])
 
-
-def _judge_by_join(asked: DataFrame, keys: DataFrame, id_col: str, default: str) -> DataFrame:
-    """For lists too long to broadcast: rows numbered, keys exploded and looked up by a join."""
-    rows = staged(asked.withColumn("__row", F.monotonically_increasing_id()), "asked")
-    hit = rows.select("__row", F.explode("keys").alias("k")).join(keys, F.col("k.key") == F.col("key"))
-    best = hit.groupBy("__row").agg(F.max(F.struct("k.size", "k.host", "key", "verdict")).alias("b"))
-    out = rows.join(best, "__row", "left")
-    return out.select(F.col("__id").alias(id_col), "host", "path", F.col("b.key").alias("rule"), F.coalesce("b.verdict", F.lit(default)).alias("verdict"))
