@@ -22,7 +22,6 @@ import os
 import re
 from bisect import bisect_left, insort
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -38,8 +37,17 @@ SHARD_ITEMS = 8192
 SEARCH_BINS = 64
 OPEN_SLACK = 256  # a bin with more than 1/256 of the capacity free is dealt anew
 CACHE_WORDS = 400_000
-BLOCK_BYTES = 1 << 21
-
+BLOCK_BYTES = 1 << 22
+
+SPACE = re.compile(rb"[\x20\x09-\x0D]")  # where bytes.split() parts words
+IS_SPACE = np.zeros(256, bool)
+IS_SPACE[list(b" \t\n\v\f\r")] = True
+# bytes of small Latin letters in valid UTF-8 (the second bytes follow 0xC3 alone, all other
+# leading bytes being absent), and the marks that may end a word
+LETTERS = bytes([*range(ord("a"), ord("z") + 1), 0xC3, *range(0x9F, 0xB7), *range(0xB8, 0xC0)])
+MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum() and chr(b) != "'")
+IS_LETTER, IS_MARK = np.zeros(256, bool), np.zeros(256, bool)
+IS_LETTER[list(LETTERS)] = IS_MARK[list(MARKS)] = True
 PIECE = pa.struct([("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())])
 
 
@@ -101,11 +109,6 @@ class WordTokenizer:
     normalised, give their one id wherever they stand, as in the library's plain call.
     """
 
-    # bytes of small Latin letters in valid UTF-8 (the second bytes follow 0xC3 alone, all other
-    # leading bytes being absent), and the marks that may end a word
-    LETTERS = bytes([*range(ord("a"), ord("z") + 1), 0xC3, *range(0x9F, 0xB7), *range(0xB8, 0xC0)])
-    MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum() and chr(b) != "'")
-
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -136,7 +139,7 @@ class WordTokenizer:
 
     def _fill(self, words: set[bytes]) -> None:
         """Ids of words that the cache lacks."""
-        cache, letters, marks = self.cache, self.LETTERS, self.MARKS
+        cache, letters, marks = self.cache, LETTERS, MARKS
         plain, other, new = [], [], set()
         for w in words:
             a = w.rstrip(marks)
@@ -154,9 +157,11 @@ class WordTokenizer:
         cache.update(zip(parts, self.merger.merge(parts)))
         for w, a, b in plain:
             cache[w] = cache[a] + cache[b]
-        if other:
-            got = self.lib.encode_batch_fast([w.decode() for w in other], add_special_tokens=False)
-            cache.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(other, got, strict=True))
+        cache.update(zip(other, self._by_library(other)))
+
+    def _by_library(self, words: list[bytes]) -> list[bytes]:
+        got = self.lib.encode_batch_fast([w.decode() for w in words], add_special_tokens=False) if words else ()
+        return [np.array(e.ids, "<u4").tobytes() for e in got]
 
     def _words(self, text: bytes) -> list[bytes]:
         """Lower-case words of a text; a special literal of the tokenizer is its key in ``literals``."""
@@ -167,24 +172,105 @@ class WordTokenizer:
             out += [b" " + part] if n % 2 else part.lower().split()
         return out
 
+    def _ids(self, words: list[bytes]) -> list[bytes]:
+        trim(self.cache, CACHE_WORDS)
+        self.cache.update(self.literals)
+        self._fill(set(words).difference(self.cache))
+        return list(map(self.cache.__getitem__, words))
+
+    def _by_word(self, text: bytes) -> bytes:
+        return b"".join(self._ids(self._words(text)))
+
+    def _block(self, texts: list[bytes]) -> list[bytes]:
+        """Texts without special literals: words are parted from the marks at their end and
+        numbered in numpy; only the distinct parts of the block become Python objects."""
+        joined = b" ".join(texts).lower()
+        buf = np.frombuffer(joined, np.uint8)
+        inside = np.flatnonzero(~IS_SPACE[buf])
+        begin = np.flatnonzero(np.diff(inside, prepend=-2) > 1)  # a word's first byte, among the bytes of words
+        starts, lens = inside[begin], np.diff(begin, append=len(inside))
+        # a word of letters and marks at its end is two parts, any other word is one
+        letters_to = np.maximum.accumulate(np.where(IS_MARK[buf], -1, np.arange(len(buf))))[starts + lens - 1] + 1 if len(starts) else starts
+        strange = np.concatenate([[0], np.cumsum(~IS_LETTER[buf])])
+        plain = (letters_to > starts) & (strange[np.maximum(letters_to, starts)] == strange[starts])
+        front = np.where(plain, letters_to - starts, lens)
+        word_at = np.repeat(starts, 2)
+        starts, lens = np.stack([starts, starts + front], 1).ravel(), np.stack([front, lens - front], 1).ravel()
+        whole, some = np.repeat(~plain, 2)[lens > 0], lens > 0
+        starts, lens, word_at = starts[some], lens[some], word_at[some]
+        power, inverse = _powers(len(buf))
+        with np.errstate(over="ignore"):
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((buf + np.uint64(1)) * power[: len(buf)])])
+            h = (sums[starts + lens] - sums[starts]) * inverse[starts]
+        _, rep, number = np.unique(h, return_index=True, return_inverse=True)
+        same = starts[rep][number] - starts
+        if not ((lens[rep][number] == lens).all() and (buf[inside + np.repeat(same, lens)] == buf[inside]).all()):
+            return list(map(self._by_word, texts))  # two parts of one hash
+        parts = [joined[a : a + n] for a, n in zip(starts[rep].tolist(), lens[rep].tolist())]
+        trim(self.cache, CACHE_WORDS)
+        ids = list(map(self.cache.get, parts))
+        new = [k for k, x in enumerate(ids) if x is None]
+        for kind, merge in ((False, self.merger.merge), (True, self._by_library)):
+            own = [k for k in new if whole[rep[k]] == kind]
+            words = [parts[k] for k in own]
+            for k, w, x in zip(own, words, merge(words) if own else ()):
+                ids[k] = self.cache[w] = x
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat, first = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(size) - size
+        count = size[number]
+        ends = np.concatenate([[0], np.cumsum(count)])
+        got = flat[np.repeat(first[number] - ends[:-1], count) + np.arange(ends[-1])]
+        text_at = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        cut = ends[np.searchsorted(word_at, text_at)].tolist()
+        return [got[a:b].tobytes() for a, b in zip(cut, cut[1:])]
+
+    def _long(self, text: bytes) -> bytes:
+        """A text beyond a block, cut at white space, which no token crosses."""
+        out, at = [], 0
+        while at < len(text):
+            m = SPACE.search(text, at + BLOCK_BYTES)
+            end = m.start() if m else len(text)
+            part = text[at:end]
+            out += [self._by_word(part)] if len(part) > 2 * BLOCK_BYTES else self._block([part])
+            at = end
+        return b"".join(out)
+
     def encode_many(self, texts: list[bytes]) -> list[bytes]:
         """ids of each text as little-endian unsigned 32-bit integers."""
-        out, a = [], 0
-        while a < len(texts):
-            b, n = a, 0
-            while b < len(texts) and (b == a or n + len(texts[b]) <= BLOCK_BYTES):
-                n += len(texts[b])
-                b += 1
-            trim(self.cache, CACHE_WORDS)
-            self.cache.update(self.literals)
-            words = list(map(self._words, texts[a:b]))
-            self._fill(set(chain.from_iterable(words)).difference(self.cache))  # each distinct word of the block once
-            get = self.cache.__getitem__
-            out += [b"".join(map(get, ws)) for ws in words]
-            a = b
+        out, block, n = [b""] * len(texts), [], 0
+
+        def flush():
+            for k, ids in zip(block, self._block([texts[k] for k in block]) if block else ()):
+                out[k] = ids
+            block.clear()
+
+        for k, text in enumerate(texts):
+            if self.literal is not None and self.literal.search(text):
+                out[k] = self._by_word(text)
+            elif len(text) > BLOCK_BYTES:
+                out[k] = self._long(text)
+            else:
+                if n + len(text) > BLOCK_BYTES:
+                    flush()
+                    n = 0
+                block.append(k)
+                n += len(text) + 1
+        flush()
         return out
 
 
+@lru_cache(maxsize=1)
+def _all_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    base = 0x9E3779B97F4A7C15
+    with np.errstate(over="ignore"):
+        return tuple(np.cumprod(np.append(np.uint64(1), np.full(n, x, np.uint64))) for x in (base, pow(base, -1, 1 << 64)))
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number modulo 2^64, and of its inverse, for at least ``n`` places."""
+    return _all_powers(max(n, 2 * BLOCK_BYTES))
+
+
 @lru_cache(maxsize=1)
 def tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)

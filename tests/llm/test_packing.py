@@ -117,3 +117,19 @@ def test_rounds_go_on_while_they_free_bins(spark, monkeypatch):
         fill[r.sequence_id].append((r.offset, r.length))
     assert all(sum(n for _, n in ps) <= 4096 for ps in fill.values())
     assert len(fill) <= 51, len(fill)
+
+
+def test_blocks_and_long_texts(monkeypatch):
+    """Blocks of a few bytes, texts over many blocks and words beyond a block give the same ids."""
+    import random
+
+    r = random.Random(11)
+    bank = ["the", "river's", "Straße", "été", "x", "a-b", "12", "...", "ß!", "中文", "<|", "word" * 30, "\x1c", "naïve,"]
+    texts = ["".join(r.choice(bank) + r.choice([" ", "\n", "\t ", " \r\n"]) for _ in range(r.randrange(80))) for _ in range(60)] + ["", " ", "z" * 300]
+    raw = [t.encode() for t in texts]
+    want = P.WordTokenizer(PATH).encode_many(raw)
+    assert [np.frombuffer(w, "<u4").tolist() for w in want] == [PLAIN.encode(t, add_special_tokens=False).ids for t in texts]
+    monkeypatch.setattr(P, "BLOCK_BYTES", 64)
+    assert P.WordTokenizer(PATH).encode_many(raw) == want
+    monkeypatch.setattr(P, "_powers", lambda n: (np.ones(n + 1, np.uint64), np.ones(n + 1, np.uint64)))  # words of equal sums share a hash
+    assert P.WordTokenizer(PATH).encode_many([b"ab ba", b"ab", b"ba ab ab"]) == [b"".join(x) for x in ([a, b], [a], [b, a, a])] if (a := P.tokenizer(PATH).encode_many([b"ab"])[0]) and (b := P.tokenizer(PATH).encode_many([b"ba"])[0]) else False
