@@ -52,20 +52,36 @@ PIECE = pa.struct([("piece", pa.int32()), ("start", pa.int64()), ("length", pa.i
 
 
 class RowMerger(Merger):
-    """The same merges for many short pieces: the lowest rank of a row of up to ``ROW_BYTES`` is found
-    by one pass over the row, which costs less than a tree's upkeep; longer pieces take the trees."""
+    """The same merges for many short pieces, given as places in a buffer: the lowest rank of a row
+    of up to ``ROW_BYTES`` is found by one pass over the row, which costs less than a tree's upkeep;
+    longer pieces take the trees."""
 
     ROW_BYTES = 32
 
-    def _merge_block(self, pieces: list[bytes], size: int) -> list[bytes]:
-        if size > self.ROW_BYTES:
-            return super()._merge_block(pieces, size)
-        m, none = len(pieces), np.int32(2**31 - 1)
-        lens = np.fromiter(map(len, pieces), np.int64, m)
-        inside = np.arange(size) < lens[:, None]
-        code = np.full((m, size), -1, np.int32)
-        code[inside] = self.first[np.frombuffer(b"".join(pieces), np.uint8)]
-        code[np.arange(m), lens - 1] = self.last[np.fromiter((p[-1] for p in pieces), np.int64, m)]
+    def merge_at(self, buf: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of all pieces, where each piece's ids begin, how many they are)."""
+        flat, first, size, n = [], np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64), 0
+        power = np.maximum(1, np.ceil(np.log2(np.maximum(lens, 1)))).astype(np.int64)
+        for k in np.unique(power):
+            members, width = np.flatnonzero(power == k), 1 << int(k)
+            step = max(1, (1 << 18) // width)
+            for a in range(0, len(members), step):
+                part = members[a : a + step]
+                if width <= self.ROW_BYTES:
+                    ids, count = self._rows(buf, starts[part], lens[part], width)
+                else:
+                    got = self.merge([buf[i : i + m].tobytes() for i, m in zip(starts[part].tolist(), lens[part].tolist())])
+                    ids, count = np.frombuffer(b"".join(got), "<u4"), np.array([len(x) // 4 for x in got])
+                flat.append(ids)
+                first[part], size[part] = n + np.cumsum(count) - count, count
+                n += len(ids)
+        return np.concatenate([np.zeros(0, np.uint32), *flat]).astype(np.uint32), first, size
+
+    def _rows(self, buf: np.ndarray, starts: np.ndarray, lens: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        m, none, place = len(starts), np.int32(2**31 - 1), np.arange(size)
+        inside = place < lens[:, None]
+        code = np.where(inside, self.first[buf[np.minimum(starts[:, None] + place, len(buf) - 1)]], -1).astype(np.int32)
+        code[np.arange(m), lens - 1] = self.last[buf[starts + lens - 1]]
         rank = np.full((m, size), none, np.int32)
         r, c = np.nonzero(inside[:, 1:])
         got = self.pairs.get(code[r, c].astype(np.int64), code[r, c + 1].astype(np.int64))
@@ -94,9 +110,51 @@ class RowMerger(Merger):
             flat[left] = np.minimum(self.pairs.get(code_[left].astype(np.int64), made[has]), none)
             act = act[rank[act].min(1) < none]
         keep = code >= 0
-        ids = code[keep].tobytes()
-        ends = np.cumsum(keep.sum(axis=1) * 4).tolist()
-        return [ids[a:b] for a, b in zip([0, *ends], ends)]
+        return code[keep].astype(np.uint32), keep.sum(axis=1)
+
+
+def spans(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """The places of all spans, one after another."""
+    ends = np.cumsum(lens)
+    return np.repeat(starts - ends + lens, lens) + np.arange(ends[-1] if len(ends) else 0)
+
+
+class PartCache:
+    """Ids of parts of words as sorted arrays: by hash, with the part's bytes to make sure."""
+
+    def __init__(self):
+        self.key, self.text, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.uint8), np.zeros(0, np.uint32)
+        self.at = self.len = self.first = self.size = np.zeros(0, np.int64)
+
+    def find(self, h: np.ndarray, buf: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in the arrays, whether the part is there) of distinct parts by rising hash."""
+        place = np.searchsorted(self.key, h)
+        if not len(self.key):
+            return place, np.zeros(len(h), bool)
+        near = np.minimum(place, len(self.key) - 1)
+        hit = np.flatnonzero((self.key[near] == h) & (self.len[near] == lens))
+        differ = self.text[spans(self.at[near[hit]], lens[hit])] != buf[spans(starts[hit], lens[hit])]
+        wrong = np.add.reduceat(differ, np.cumsum(lens[hit]) - lens[hit]) > 0 if len(hit) else np.zeros(0, bool)
+        there = np.zeros(len(h), bool)
+        there[hit[~wrong]] = True
+        return place, there
+
+    def add(self, place, h, buf, starts, lens, ids, first, size) -> None:
+        """``ids``: those of the cache and behind them the new ones, to which ``first`` points."""
+        taken = self.key[np.minimum(place, len(self.key) - 1)] == h if len(self.key) else np.zeros(len(h), bool)  # another part of the same hash: not kept
+        place, h, starts, lens, first, size = (x[~taken] for x in (place, h, starts, lens, first, size))
+        values = {"key": h, "at": len(self.text) + np.cumsum(lens) - lens, "len": lens, "first": first, "size": size}
+        for name, x in values.items():
+            setattr(self, name, np.insert(getattr(self, name), place, x))
+        self.text, self.ids = np.concatenate([self.text, buf[spans(starts, lens)]]), ids
+
+    def trim(self, most: int) -> None:
+        """Forget the newer half of a full cache; frequent words are met early, so they stay."""
+        if len(self.key) > most:
+            old = self.at < np.partition(self.at, most // 2)[most // 2]
+            for name in ("key", "at", "len", "first", "size"):
+                setattr(self, name, getattr(self, name)[old])
+            self.text, self.ids = self.text[: int((self.at + self.len).max())].copy(), self.ids[: int((self.first + self.size).max())].copy()
 
 
 class WordTokenizer:
@@ -115,7 +173,8 @@ class WordTokenizer:
 
         self.lib = Tokenizer.from_file(path)
         self.lib.encode_special_tokens = True  # for lower-case words: the literals are cut out before, by their case
-        self.cache: dict[bytes, bytes] = {}
+        self.cache: dict[bytes, bytes] = {}  # of single texts
+        self.parts = PartCache()  # of blocks
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, added = spec["model"], spec["added_tokens"]
@@ -183,7 +242,7 @@ class WordTokenizer:
 
     def _block(self, texts: list[bytes]) -> list[bytes]:
         """Texts without special literals: words are parted from the marks at their end and
-        numbered in numpy; only the distinct parts of the block become Python objects."""
+        numbered in numpy; only distinct parts that are not known yet are merged."""
         joined = b" ".join(texts).lower()
         buf = np.frombuffer(joined, np.uint8)
         inside = np.flatnonzero(~IS_SPACE[buf])
@@ -206,20 +265,26 @@ class WordTokenizer:
         same = starts[rep][number] - starts
         if not ((lens[rep][number] == lens).all() and (buf[inside + np.repeat(same, lens)] == buf[inside]).all()):
             return list(map(self._by_word, texts))  # two parts of one hash
-        parts = [joined[a : a + n] for a, n in zip(starts[rep].tolist(), lens[rep].tolist())]
-        trim(self.cache, CACHE_WORDS)
-        ids = list(map(self.cache.get, parts))
-        new = [k for k, x in enumerate(ids) if x is None]
-        for kind, merge in ((False, self.merger.merge), (True, self._by_library)):
-            own = [k for k in new if whole[rep[k]] == kind]
-            words = [parts[k] for k in own]
-            for k, w, x in zip(own, words, merge(words) if own else ()):
-                ids[k] = self.cache[w] = x
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        flat, first = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(size) - size
+        starts, lens, h, whole = starts[rep], lens[rep], h[rep], whole[rep]
+        cache = self.parts
+        cache.trim(CACHE_WORDS)
+        place, there = cache.find(h, buf, starts, lens)
+        first, size = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
+        first[there], size[there] = cache.first[place[there]], cache.size[place[there]]
+        new, other = np.flatnonzero(~there & ~whole), np.flatnonzero(~there & whole)
+        flat = cache.ids
+        if len(new) or len(other):
+            ids, first[new], size[new] = self.merger.merge_at(buf, starts[new], lens[new])
+            more = self._by_library([joined[a : a + n] for a, n in zip(starts[other].tolist(), lens[other].tolist())])
+            size[other] = [len(x) // 4 for x in more]
+            first[other] = len(ids) + np.cumsum(size[other]) - size[other]
+            new = np.flatnonzero(~there)
+            first[new] += len(flat)
+            flat = np.concatenate([flat, ids, np.frombuffer(b"".join(more), "<u4")])
+            cache.add(place[new], h[new], buf, starts[new], lens[new], flat, first[new], size[new])
         count = size[number]
         ends = np.concatenate([[0], np.cumsum(count)])
-        got = flat[np.repeat(first[number] - ends[:-1], count) + np.arange(ends[-1])]
+        got = flat[spans(first[number], count)]
         text_at = np.cumsum([0, *(len(t) + 1 for t in texts)])
         cut = ends[np.searchsorted(word_at, text_at)].tolist()
         return [got[a:b].tobytes() for a, b in zip(cut, cut[1:])]

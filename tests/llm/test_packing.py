@@ -133,3 +133,18 @@ def test_blocks_and_long_texts(monkeypatch):
     assert P.WordTokenizer(PATH).encode_many(raw) == want
     monkeypatch.setattr(P, "_powers", lambda n: (np.ones(n + 1, np.uint64), np.ones(n + 1, np.uint64)))  # words of equal sums share a hash
     assert P.WordTokenizer(PATH).encode_many([b"ab ba", b"ab", b"ba ab ab"]) == [b"".join(x) for x in ([a, b], [a], [b, a, a])] if (a := P.tokenizer(PATH).encode_many([b"ab"])[0]) and (b := P.tokenizer(PATH).encode_many([b"ba"])[0]) else False
+
+
+def test_part_cache_forgets_and_tells_parts_of_one_hash_apart(monkeypatch):
+    texts = [" ".join(f"{a}{b}x" for a in "abcdefgh" for b in "ijklmnop").encode(), b"ba ab abx, abx. zz"] * 3
+    want = P.WordTokenizer(PATH).encode_many(texts)
+    monkeypatch.setattr(P, "CACHE_WORDS", 10)
+    w = P.WordTokenizer(PATH)
+    assert [w.encode_many([t])[0] for t in texts] == want and len(w.parts.key) < 80
+    c, buf = P.PartCache(), np.frombuffer(b"abba", np.uint8)
+    one = np.ones(1, np.int64)
+    c.add(0 * one, np.array([5], np.uint64), buf, 0 * one, 2 * one, np.array([7, 8], np.uint32), 0 * one, 2 * one)
+    assert c.find(np.array([5], np.uint64), buf, 0 * one, 2 * one)[1].tolist() == [True]
+    assert c.find(np.array([5], np.uint64), buf, 2 * one, 2 * one)[1].tolist() == [False]  # "ba", of the same hash
+    c.add(0 * one, np.array([5], np.uint64), buf, 2 * one, 2 * one, np.array([7, 8, 9], np.uint32), 2 * one, one)
+    assert len(c.key) == 1
