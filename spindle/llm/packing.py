@@ -37,7 +37,7 @@ SHARD_ITEMS = 8192
 SEARCH_BINS = 64
 OPEN_SLACK = 256  # a bin with more than 1/256 of the capacity free is dealt anew
 CACHE_WORDS = 400_000
-BLOCK_BYTES = 1 << 22
+BLOCK_BYTES = 1 << 20
 
 SPACE = re.compile(rb"[\x20\x09-\x0D]")  # where bytes.split() parts words
 IS_SPACE = np.zeros(256, bool)
@@ -333,7 +333,7 @@ def _all_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number modulo 2^64, and of its inverse, for at least ``n`` places."""
-    return _all_powers(max(n, 2 * BLOCK_BYTES))
+    return _all_powers(n if n > BLOCK_BYTES + 1 else BLOCK_BYTES + 1)
 
 
 @lru_cache(maxsize=1)
