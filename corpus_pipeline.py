@@ -19,19 +19,24 @@ from spindle.llm.secrets import find_secrets, redacted
 from spindle.llm.simhash import simhash_groups
 
 
+BROADCAST_ROWS = 1_000_000  # row numbers (8 bytes each) that may be broadcast
+BROADCAST_BYTES = 64 << 20  # bytes of changed texts that may be
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier gives a score of 0.5 or more."""
     prepare(spark)
     model = train(docs, read_table(spark, sf_dir, "labels"))
-    return with_score(docs, model, out="__score").where("__score >= 0.5").select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("d"), F.col("text").alias("t"))
+    return with_score(rows, model, text="t", out="s").where("s >= 0.5").select("d.*")
 
 
 _numbered: list[DataFrame] = []
 
 
 def numbered(docs: DataFrame, name: str) -> DataFrame:
-    """``docs`` as a table with a row number ``__row``, so that rows without an id, or that repeat
-    one, are rows of their own.
+    """``docs`` as a table of (n, d): a row number, so that rows without an id, or that repeat one,
+    are rows of their own, and the row itself as one struct, whose columns clash with nothing.
 
     A stage's result is written before the next stage begins, so the tables of earlier stages
     that ``docs`` does not read any more are deleted here and do not add up.
@@ -40,7 +45,7 @@ def numbered(docs: DataFrame, name: str) -> DataFrame:
     spent = [t for t in _numbered if t.sparkSession is not docs.sparkSession or not any(t._staged_path in f for f in read)]
     discard(*[t for t in spent if t.sparkSession is docs.sparkSession])
     _numbered[:] = [t for t in _numbered if not any(t is x for x in spent)]
-    out = staged(docs.withColumn("__row", F.monotonically_increasing_id()), name)
+    out = staged(docs.select(F.monotonically_increasing_id().alias("n"), F.struct(*docs.columns).alias("d")), name)
     _numbered.append(out)
     return out
 
@@ -48,34 +53,46 @@ def numbered(docs: DataFrame, name: str) -> DataFrame:
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts: the row with the smallest id (without one, last;
     among rows of one id the first)."""
-    return _smallest(docs, lambda rows: exact_dedup(rows).where("kept").select(F.col("doc_id").alias("__keep")), "exact-in")
+    return _one_of_each(docs, lambda rows: exact_dedup(rows).select(F.col("doc_id").alias("n"), F.col("keep_id").alias("g")), "exact-in")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash group, chosen likewise."""
-    return _smallest(docs, lambda rows: simhash_groups(rows, shingle=3, radius=2).where("doc_id = component_id").select(F.col("doc_id").alias("__keep")), "near-in")
+    return _one_of_each(docs, lambda rows: simhash_groups(rows, shingle=3, radius=2).select(F.col("doc_id").alias("n"), F.col("component_id").alias("g")), "near-in")
 
 
-def _smallest(docs: DataFrame, winners, name: str) -> DataFrame:
-    """Rows of ``docs`` that ``winners`` (of an id and text table) names, by a unique number that
-    rises with the id."""
+def _one_of_each(docs: DataFrame, groups, name: str) -> DataFrame:
+    """The row with the smallest id of every group ``g`` that ``groups`` gives the row numbers ``n``.
+
+    Texts stay where they are: ids and numbers alone are grouped, and the numbers that go are few
+    and mostly broadcast.
+    """
     prepare(docs.sparkSession)
-    order = docs.sort(F.col("doc_id").asc_nulls_last())  # range partitions: numbers rise with the id
-    rows = numbered(order, name)
-    kept = winners(rows.select(F.col("__row").alias("doc_id"), "text"))
-    return rows.join(kept, rows["__row"] == kept["__keep"], "left_semi").select(*docs.columns)
+    rows = numbered(docs, name)
+    found = staged(groups(rows.select(F.col("n").alias("doc_id"), "d.text")).join(rows.select("n", F.col("d.doc_id").alias("id")), "n"), "groups")
+    first = found.groupBy("g").agg(F.min(F.struct(F.col("id").isNull(), "id", "n")).alias("w")).select(F.col("w.n").alias("n"))
+    gone = staged(found.select("n").join(first, "n", "left_anti"), "gone")
+    discard(found)
+    if gone.count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    return rows.join(gone, "n", "left_anti").select("d.*")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents; each secret is replaced by its kind in angle brackets."""
     prepare(spark)
     rows = numbered(docs, "secrets-in")
-    found = find_secrets(rows.select(F.col("__row").alias("doc_id"), "text"))
-    hit = found.where(F.size("spans") > 0).select(F.col("__id").alias("__hit"), redacted(F.col("__text"), F.col("spans")).alias("__clean"))
-    out = rows.join(hit, rows["__row"] == hit["__hit"], "left")
-    text = F.coalesce("__clean", "text")
-    replaced = {"text": text, "n_chars": F.when(F.col("__clean").isNull(), F.col("n_chars")).otherwise(F.length("__clean")).cast("long")}
-    return out.select(*[replaced[c].alias(c) if c in replaced else F.col(c) for c in docs.columns])
+    found = find_secrets(rows.select(F.col("n").alias("doc_id"), "d.text"))
+    hit = found.where(F.size("spans") > 0).select(F.col("__id").alias("n"), redacted(F.col("__text"), F.col("spans")).alias("clean"))
+    hit = staged(hit, "redacted")
+    if (hit.agg(F.sum(F.octet_length("clean") + 8)).first()[0] or 0) <= BROADCAST_BYTES:
+        hit = F.broadcast(hit)
+    out = rows.join(hit, "n", "left")
+    replaced = {
+        "text": F.coalesce("clean", "d.text"),
+        "n_chars": F.when(F.col("clean").isNull(), F.col("d.n_chars")).otherwise(F.length("clean")).cast("long"),
+    }
+    return out.select(*[replaced.get(c, F.col("d")[c]).alias(c) for c in docs.columns])
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
