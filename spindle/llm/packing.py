@@ -460,8 +460,10 @@ def pack(pieces: DataFrame, length: str = "length", capacity: int = CAPACITY) ->
     """
     prepare(pieces.sparkSession)
     keep = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
-    all_ = staged(pieces.select(*keep).withColumn("__row", F.monotonically_increasing_id()), "pieces")
-    todo = all_.where(F.col(length) < capacity).select("__row", F.col(length).cast("long").alias("__len"), F.col("__row").alias("__bin"))
+    # the row itself is one struct, whose columns clash with nothing
+    all_ = staged(pieces.select(F.struct(*keep).alias("__p"), F.monotonically_increasing_id().alias("__row")), "pieces")
+    size = F.col("__p")[length]
+    todo = all_.where(size < capacity).select("__row", size.cast("long").alias("__len"), F.col("__row").alias("__bin"))
     placed, round_, n = [], 0, todo.count()
     open_bins = n  # bins that the round's pieces stand in: one a piece at first
     while n:
@@ -480,11 +482,11 @@ def pack(pieces: DataFrame, length: str = "length", capacity: int = CAPACITY) ->
         if last:
             break
         todo, n, open_bins, round_ = done.where("open").select("__row", "__len", local.alias("__bin")), left, open_now, round_ + 1
-    full = all_.where(F.col(length) >= capacity)
-    out = full.select(*keep, (-F.col("__row") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    rest = all_.where(F.col(length) < capacity)
+    full = all_.where(size >= capacity)
+    out = full.select("__p.*", (-F.col("__row") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    rest = all_.where(size < capacity)
     for p in placed[1:]:
         placed[0] = placed[0].unionByName(p)
     if placed:
-        out = out.unionByName(rest.join(placed[0], rest["__row"] == placed[0]["__r"]).select(*keep, "sequence_id", "offset"))
+        out = out.unionByName(rest.join(placed[0], rest["__row"] == placed[0]["__r"]).select("__p.*", "sequence_id", "offset"))
     return out
