@@ -34,9 +34,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 _numbered: list[DataFrame] = []
 
 
+def row_name(docs: DataFrame, name: str = "__row") -> str:
+    """A column name that ``docs`` has not."""
+    while name.lower() in (c.lower() for c in docs.columns):
+        name += "_"
+    return name
+
+
 def numbered(docs: DataFrame, name: str) -> DataFrame:
-    """``docs`` as a table of (n, d): a row number, so that rows without an id, or that repeat one,
-    are rows of their own, and the row itself as one struct, whose columns clash with nothing.
+    """``docs`` as a table with a row number in the column ``row_name(docs)``, so that rows without
+    an id, or that repeat one, are rows of their own.
 
     A stage's result is written before the next stage begins, so the tables of earlier stages
     that ``docs`` does not read any more are deleted here and do not add up.
@@ -45,7 +52,7 @@ def numbered(docs: DataFrame, name: str) -> DataFrame:
     spent = [t for t in _numbered if t.sparkSession is not docs.sparkSession or not any(t._staged_path in f for f in read)]
     discard(*[t for t in spent if t.sparkSession is docs.sparkSession])
     _numbered[:] = [t for t in _numbered if not any(t is x for x in spent)]
-    out = staged(docs.select(F.monotonically_increasing_id().alias("n"), F.struct(*docs.columns).alias("d")), name)
+    out = staged(docs.withColumn(row_name(docs), F.monotonically_increasing_id()), name)
     _numbered.append(out)
     return out
 
@@ -68,31 +75,32 @@ def _one_of_each(docs: DataFrame, groups, name: str) -> DataFrame:
     and mostly broadcast.
     """
     prepare(docs.sparkSession)
-    rows = numbered(docs, name)
-    found = staged(groups(rows.select(F.col("n").alias("doc_id"), "d.text")).join(rows.select("n", F.col("d.doc_id").alias("id")), "n"), "groups")
+    rows, n = numbered(docs, name), row_name(docs)
+    ids = rows.select(F.col(n).alias("n"), F.col("doc_id").alias("id"))
+    found = staged(groups(rows.select(F.col(n).alias("doc_id"), "text")).join(ids, "n"), "groups")
     first = found.groupBy("g").agg(F.min(F.struct(F.col("id").isNull(), "id", "n")).alias("w")).select(F.col("w.n").alias("n"))
     gone = staged(found.select("n").join(first, "n", "left_anti"), "gone")
     discard(found)
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
-    return rows.join(gone, "n", "left_anti").select("d.*")
+    return rows.join(gone.withColumnRenamed("n", n), n, "left_anti").select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents; each secret is replaced by its kind in angle brackets."""
     prepare(spark)
-    rows = numbered(docs, "secrets-in")
-    found = find_secrets(rows.select(F.col("n").alias("doc_id"), "d.text"))
-    hit = found.where(F.size("spans") > 0).select(F.col("__id").alias("n"), redacted(F.col("__text"), F.col("spans")).alias("clean"))
+    rows, n, clean = numbered(docs, "secrets-in"), row_name(docs), row_name(docs, "__clean")
+    found = find_secrets(rows.select(F.col(n).alias("doc_id"), "text"))
+    hit = found.where(F.size("spans") > 0).select(F.col("__id").alias(n), redacted(F.col("__text"), F.col("spans")).alias(clean))
     hit = staged(hit, "redacted")
-    if (hit.agg(F.sum(F.octet_length("clean") + 8)).first()[0] or 0) <= BROADCAST_BYTES:
+    if (hit.agg(F.sum(F.octet_length(clean) + 8)).first()[0] or 0) <= BROADCAST_BYTES:
         hit = F.broadcast(hit)
-    out = rows.join(hit, "n", "left")
+    out = rows.join(hit, n, "left")
     replaced = {
-        "text": F.coalesce("clean", "d.text"),
-        "n_chars": F.when(F.col("clean").isNull(), F.col("d.n_chars")).otherwise(F.length("clean")).cast("long"),
+        "text": F.coalesce(clean, "text"),
+        "n_chars": F.when(F.col(clean).isNull(), F.col("n_chars")).otherwise(F.length(clean)).cast("long"),
     }
-    return out.select(*[replaced.get(c, F.col("d")[c]).alias(c) for c in docs.columns])
+    return out.select(*[replaced.get(c, F.col(c)).alias(c) for c in docs.columns])
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
