@@ -37,7 +37,7 @@ SHARD_ITEMS = 8192
 SEARCH_BINS = 64
 OPEN_SLACK = 256  # a bin with more than 1/256 of the capacity free is dealt anew
 CACHE_WORDS = 400_000
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 
 SPACE = re.compile(rb"[\x20\x09-\x0D]")  # where bytes.split() parts words
 IS_SPACE = np.zeros(256, bool)
@@ -248,10 +248,15 @@ class WordTokenizer:
         inside = np.flatnonzero(~IS_SPACE[buf])
         begin = np.flatnonzero(np.diff(inside, prepend=-2) > 1)  # a word's first byte, among the bytes of words
         starts, lens = inside[begin], np.diff(begin, append=len(inside))
+        del begin
         # a word of letters and marks at its end is two parts, any other word is one
-        letters_to = np.maximum.accumulate(np.where(IS_MARK[buf], -1, np.arange(len(buf))))[starts + lens - 1] + 1 if len(starts) else starts
-        strange = np.concatenate([[0], np.cumsum(~IS_LETTER[buf])])
+        last = np.arange(len(buf), dtype=np.int32)
+        last[IS_MARK[buf]] = -1
+        letters_to = np.maximum.accumulate(last, out=last)[starts + lens - 1].astype(np.int64) + 1
+        strange = np.zeros(len(buf) + 1, np.int32)
+        np.cumsum(~IS_LETTER[buf], out=strange[1:])
         plain = (letters_to > starts) & (strange[np.maximum(letters_to, starts)] == strange[starts])
+        del last, strange
         front = np.where(plain, letters_to - starts, lens)
         word_at = np.repeat(starts, 2)
         starts, lens = np.stack([starts, starts + front], 1).ravel(), np.stack([front, lens - front], 1).ravel()
@@ -259,12 +264,20 @@ class WordTokenizer:
         starts, lens, word_at = starts[some], lens[some], word_at[some]
         power, inverse = _powers(len(buf))
         with np.errstate(over="ignore"):
-            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((buf + np.uint64(1)) * power[: len(buf)])])
+            sums = np.zeros(len(buf) + 1, np.uint64)
+            np.multiply(buf, power[: len(buf)], out=sums[1:])
+            sums[1:] += power[: len(buf)]
+            np.cumsum(sums, out=sums)
             h = (sums[starts + lens] - sums[starts]) * inverse[starts]
+        del sums
         _, rep, number = np.unique(h, return_index=True, return_inverse=True)
-        same = starts[rep][number] - starts
-        if not ((lens[rep][number] == lens).all() and (buf[inside + np.repeat(same, lens)] == buf[inside]).all()):
+        if not (lens[rep][number] == lens).all():
             return list(map(self._by_word, texts))  # two parts of one hash
+        twin = np.repeat(starts[rep][number] - starts, lens)
+        twin += inside
+        if not (buf[twin] == buf[inside]).all():
+            return list(map(self._by_word, texts))
+        del twin, inside
         starts, lens, h, whole = starts[rep], lens[rep], h[rep], whole[rep]
         cache = self.parts
         cache.trim(CACHE_WORDS)
