@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, discard, prepare, staged, text_or_empty
+from .common import ASCII_SPACE, discard, give_back, prepare, staged, text_or_empty
 
 SHARD_ROWS = 50_000
 PROBE_ROWS = 200_000  # rows that look up one copy of a shard's index
@@ -130,6 +130,7 @@ ANSWER = "__id long, digest binary, keep_id long, group_size long, member boolea
 
 
 def _probe(key, rows: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
+    give_back()
     return _answer(rows, Shard(index.iloc[0]) if len(index) else None)
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Merger, PairTable, trim
-from .common import discard, prepare, staged
+from .common import give_back, prepare, staged
 
 CAPACITY = 4096
 SHARD_ITEMS = 8192
@@ -359,6 +359,7 @@ def token_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text: str =
 
     @F.arrow_udf("array<struct<piece int, start bigint, length bigint, ids binary>>")
     def cut(col: pa.Array) -> pa.Array:
+        give_back()
         texts = [x or b"" for x in col.to_pylist()]
         tail = np.array([end_id], "<u4").tobytes()
         rows = []

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, row_key
+from .common import give_back, prepare, row_key
 
 MAX_ROWS = 20_000
 BINS = 64
@@ -157,6 +157,7 @@ def with_score(docs: DataFrame, model: Trees, text: str = "text", out: str = "sc
 
     @F.arrow_udf("double")
     def score(col: pa.Array) -> pa.Array:
+        give_back()
         x = np.array([statistics(t.as_py()) for t in col], np.float64).reshape(-1, len(FEATURES))
         return pa.array(shared.value.score(x))
 

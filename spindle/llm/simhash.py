@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, prepare, staged
+from .common import discard, give_back, prepare, staged
 from .components import Forest, connected_components, in_blocks
 
 SAMPLE = 20_000
@@ -57,6 +57,7 @@ def with_fingerprint(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
 
     @F.arrow_udf("long")
     def fp(col: pa.Array) -> pa.Array:
+        give_back()
         return pa.array((fingerprint(x.as_py(), n) for x in col), pa.int64())
 
     return docs.select(F.col(id_col).cast("long").alias("__id"), fp(F.col(text)).alias("fp"))
@@ -144,6 +145,7 @@ def near_links(nodes: DataFrame, radius: int = 2) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(leaf.astype(np.int64)), pa.array(fps[at]), pa.array(home.astype(bool))], ["leaf", "fp", "home"])
 
     def search(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        give_back()
         fps = np.sort(pdf["fp"].to_numpy(np.int64))
         forest = Forest(len(fps))
         mine = pdf.sort_values("fp")
