@@ -18,7 +18,6 @@ def norm(a: Column) -> Column:
     return F.sqrt(F.aggregate(a, F.lit(0.0).cast("double"), lambda s, x: s + x * x))
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine similarity; NULL when either vector has zero length."""
-    den = norm(a) * norm(b)
-    return F.when(den > 0, dot(a, b) / den)
+def unit(a: Column) -> Column:
+    """The vector divided by its length (taken once); NULL when that is zero."""
+    return F.when(norm(a) > 0, F.zip_with(a, F.array_repeat(norm(a), F.size(a)), lambda x, n: x / n))

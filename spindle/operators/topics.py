@@ -12,10 +12,12 @@ from pyspark.sql.window import Window
 
 from spindle.functions.text import non_blank, word_tokens
 from spindle.functions.topics import topic_display_name
-from spindle.functions.vectors import as_double_array, cosine
+from spindle.functions.vectors import as_double_array, dot, unit
 from spindle.operators.sizing import require_rows, sized_broadcast
 
 OUTLIER = -1
+BLOCK_TOPICS = 2_000  # centroids in one row
+PASS_BLOCKS = 20  # blocks broadcast in one pass over the vectors
 
 
 def topic_terms(labelled: DataFrame, top: int = 10, text_col: str = "text", topic_col: str = "topic_id") -> DataFrame:
@@ -50,7 +52,7 @@ def topic_terms(labelled: DataFrame, top: int = 10, text_col: str = "text", topi
     return ranked.select(F.col("topic_id").cast("int"), "term", "weight", F.col("rank").cast("int"))
 
 
-def topic_catalog(terms: DataFrame, names: DataFrame, max_topics: int = 100_000) -> DataFrame:
+def topic_catalog(terms: DataFrame, names: DataFrame) -> DataFrame:
     """(topic_id, name, keywords ARRAY<STRUCT<term, weight>>) for every topic with terms or a name.
 
     Fails fast when the catalog is empty (the reference refuses to start without its model).
@@ -67,14 +69,18 @@ def topic_catalog(terms: DataFrame, names: DataFrame, max_topics: int = 100_000)
         "stored_name",
         F.coalesce("keywords", F.array().cast("array<struct<term:string,weight:double>>")).alias("keywords"),
     ).cache()
-    require_rows(cat, "topic catalog", max_rows=max_topics)
+    require_rows(cat, "topic catalog")
     return cat
 
 
 def with_topic_details(assigned: DataFrame, catalog: DataFrame, prob_col: str = "probability") -> DataFrame:
     """Adds ``topic`` STRUCT<id, name, keywords, probability>; an unknown topic gets no terms
-    and the name ``Topic n``. The catalog is broadcast: one row per topic, counted when built."""
-    cat = F.broadcast(catalog.select("topic_id", F.col("stored_name").alias("_cat_name"), F.col("keywords").alias("_cat_kw")))
+    and the name ``Topic n``. The catalog is broadcast if its bytes allow (asked once for each
+    catalog), else joined by a shuffle."""
+    if not hasattr(catalog, "_small"):
+        catalog._small = sized_broadcast(catalog, cache=False)[1]
+    cat = catalog.select("topic_id", F.col("stored_name").alias("_cat_name"), F.col("keywords").alias("_cat_kw"))
+    cat = F.broadcast(cat) if catalog._small else cat
     j = assigned.join(cat, "topic_id", "left")
     kws = F.coalesce("_cat_kw", F.array().cast("array<struct<term:string,weight:double>>"))
     name = topic_display_name(F.col("topic_id"), F.col("_cat_name"), F.transform(kws, lambda e: e["term"]))
@@ -117,12 +123,17 @@ def assign_topics_text(
     )
 
 
-def centroid_row(centroids: DataFrame, max_topics: int = 100_000) -> DataFrame:
-    """All centroids as one broadcastable row: ARRAY<STRUCT<topic_id, v>> sorted by topic id."""
-    require_rows(centroids, "topic centroids", max_rows=max_topics)
-    return centroids.groupBy().agg(
-        F.sort_array(F.collect_list(F.struct(F.col("topic_id").cast("int").alias("topic_id"), as_double_array(F.col("centroid")).alias("v")))).alias("_cs")
-    )
+def centroid_blocks(centroids: DataFrame, block: int = BLOCK_TOPICS) -> list[DataFrame]:
+    """The centroids as one-row frames ``_cs`` ARRAY<STRUCT<topic_id, u>> of about ``block`` unit
+    vectors each. Several blocks are gathered in tasks of their own and checkpointed."""
+    n = require_rows(centroids, "topic centroids")
+    units = centroids.select(F.struct(F.col("topic_id").cast("int").alias("topic_id"), unit(as_double_array(F.col("centroid"))).alias("u")).alias("c"))
+    gathered = F.sort_array(F.collect_list("c")).alias("_cs")
+    if n <= block:
+        return [units.groupBy().agg(gathered)]
+    b = F.pmod(F.xxhash64("c.topic_id"), F.lit(-(-n // block)))
+    blocks = units.groupBy(b.alias("_b")).agg(gathered).checkpoint()
+    return [blocks.where(F.col("_b") == r[0]).select("_cs") for r in blocks.select("_b").sort("_b").collect()]  # one number a block
 
 
 def assign_topics_vector(
@@ -132,33 +143,48 @@ def assign_topics_vector(
     centroids: DataFrame,
     min_cosine: float = 0.15,
     temperature: float = 0.05,
+    block: int = BLOCK_TOPICS,
+    pass_blocks: int = PASS_BLOCKS,
 ) -> DataFrame:
     """Nearest centroid by cosine; below ``min_cosine`` the document is an outlier (-1).
 
     probability = softmax(cosine / temperature) at the best topic (kept for outliers too).
-    Every vector is scored in its own row against the broadcast centroid row: no shuffle.
+    Every vector is scored in its own row against broadcast rows of ``block`` centroids: no
+    shuffle. Each block's best topic and sum of exponentials are merged into the row's; after
+    ``pass_blocks`` blocks the rows are checkpointed, so any number of centroids can be scored
+    and a task never holds more than one pass of them. A vector that is null, zero or of another
+    length has cosine -1 to all.
     """
-    row = centroid_row(centroids)
-    v = vecs.select(*keys, as_double_array(F.col(vec_col)).alias("_v")).crossJoin(F.broadcast(row))
-    sims = v.select(
-        *keys,
-        F.transform(F.col("_cs"), lambda c: F.struct(F.coalesce(cosine(F.col("_v"), c["v"]), F.lit(-1.0)).alias("cos"), c["topic_id"].alias("topic_id"))).alias("_sims"),
-    )
-    best = sims.select(
-        *keys,
-        "_sims",
-        F.array_max(F.transform("_sims", lambda s: F.struct(F.round(s["cos"], 10).alias("r"), (-s["topic_id"]).alias("t"), s["cos"].alias("cos"), s["topic_id"].alias("topic_id")))).alias("_b"),
-    )
-    prob = best.select(
-        *keys,
-        "_b",
-        F.aggregate(F.col("_sims"), F.lit(0.0).cast("double"), lambda acc, s: acc + F.exp((s["cos"] - F.col("_b.cos")) / F.lit(temperature))).alias("_z"),
-    )
-    return prob.select(
+    rows = vecs.select(*keys, unit(as_double_array(F.col(vec_col))).alias("_u"))
+    blocks = centroid_blocks(centroids, block)
+
+    def far(cos, best):
+        return F.exp((cos - best) / F.lit(temperature))
+
+    for k, one in enumerate(blocks):
+        if k and k % pass_blocks == 0:
+            rows = rows.checkpoint()
+        kept = [] if k == 0 else ["_best", "_z"]
+        sims = rows.crossJoin(F.broadcast(one)).select(
+            *keys,
+            "_u",
+            *kept,
+            F.transform(F.col("_cs"), lambda c: F.struct(F.coalesce(dot(F.col("_u"), c["u"]), F.lit(-1.0)).alias("cos"), c["topic_id"].alias("topic_id"))).alias("_sims"),
+        )
+        own = F.array_max(F.transform("_sims", lambda s: F.struct(F.round(s["cos"], 10).alias("r"), (-s["topic_id"]).alias("t"), s["cos"].alias("cos"), s["topic_id"].alias("topic_id"))))
+        best = sims.select(*keys, "_u", *kept, "_sims", own.alias("_own"))
+        z = F.aggregate(F.col("_sims"), F.lit(0.0).cast("double"), lambda acc, s: acc + far(s["cos"], F.col("_own.cos")))
+        if k == 0:
+            rows = best.select(*keys, "_u", F.col("_own").alias("_best"), z.alias("_z"))
+        else:
+            both = best.select(*keys, "_u", "_best", "_z", "_own", z.alias("_zo"), F.greatest("_best", "_own").alias("_top"))
+            merged = F.col("_z") * far(F.col("_best.cos"), F.col("_top.cos")) + F.col("_zo") * far(F.col("_own.cos"), F.col("_top.cos"))
+            rows = both.select(*keys, "_u", F.col("_top").alias("_best"), merged.alias("_z"))
+    return rows.select(
         *keys,
-        F.when(F.col("_b.cos") >= F.lit(min_cosine), F.col("_b.topic_id")).otherwise(F.lit(OUTLIER)).cast("int").alias("topic_id"),
+        F.when(F.col("_best.cos") >= F.lit(min_cosine), F.col("_best.topic_id")).otherwise(F.lit(OUTLIER)).cast("int").alias("topic_id"),
         (F.lit(1.0) / F.col("_z")).alias("probability"),
-        F.col("_b.cos").alias("best_cosine"),
+        F.col("_best.cos").alias("best_cosine"),
     )
 
 
