@@ -6,7 +6,9 @@ compressed size. Headers, digests and record ids are made anew from the rows, so
 give the same bytes. Each attempt of a task writes under names of its own; only the names that
 the successful attempts report reach the manifest, a second job renames these to their final
 names (again and again without harm), and readers see final names alone. A lost executor thus
-leaves at most stray temporary files.
+leaves at most stray temporary files. A later write into the same folder replaces the files of the
+one before: equal names are exchanged and those that the new manifest lacks are deleted. It is
+safe to repeat, but while it runs a reader may meet files of both.
 
 Of records with equal payloads of at least ``least`` bytes the one with the smallest id is the
 response and the others are revisits of it, without a body; shorter ones are all responses.
@@ -118,16 +120,31 @@ def _committer(folder: str):
         fs, root = FileSystem.from_uri(folder)
         for b in batches:
             for old, new in zip(*(c.to_pylist() for c in b.select(["temporary", "final"]).columns)):
-                if fs.get_file_info(f"{root}/{new}").type.name == "NotFound":
+                # without its temporary file a name has been exchanged by an earlier attempt
+                if fs.get_file_info(f"{root}/{old}").type.name != "NotFound":
+                    if fs.get_file_info(f"{root}/{new}").type.name != "NotFound":
+                        fs.delete_file(f"{root}/{new}")
                     fs.move(f"{root}/{old}", f"{root}/{new}")
             yield b
 
     return commit
 
 
+def _remover(folder: str):
+    def remove(batches):
+        fs, root = FileSystem.from_uri(folder)
+        for b in batches:
+            for name in b.column("final").to_pylist():
+                if fs.get_file_info(f"{root}/{name}").type.name != "NotFound":
+                    fs.delete_file(f"{root}/{name}")
+            yield b
+
+    return remove
+
+
 def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url: str = "url", html: str = "html", least: int = 0, roll: int = ROLL_BYTES) -> DataFrame:
-    """Write ``pages`` as WARC files below ``folder``; returns the manifest."""
-    prepare(pages.sparkSession)
+    """Write ``pages`` as the WARC files of ``folder``; returns the manifest."""
+    spark = prepare(pages.sparkSession)
     base = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).cast("binary").alias("payload"))
 
     @F.arrow_udf("string")
@@ -148,9 +165,15 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url: str
     rows = rows.repartitionByRange(shards, *order).sortWithinPartitions(*order, "url")
     fs, root = FileSystem.from_uri(folder)
     fs.create_dir(root, recursive=True)
+    older = fs.get_file_info(f"{root}/_manifest").type.name != "NotFound"
+    # names alone, kept apart as the manifest is overwritten
+    older = staged(spark.read.schema(MANIFEST).parquet(f"{folder}/_manifest").select("final"), "older") if older else None
     rows.mapInArrow(_writer(folder, least, roll), MANIFEST).write.mode("overwrite").parquet(f"{folder}/_manifest")
-    manifest = pages.sparkSession.read.schema(MANIFEST).parquet(f"{folder}/_manifest")
+    manifest = spark.read.schema(MANIFEST).parquet(f"{folder}/_manifest")
     manifest.mapInArrow(_committer(folder), MANIFEST).agg(F.sum("records")).first()
+    if older is not None:
+        older.join(manifest, "final", "left_anti").mapInArrow(_remover(folder), "final string").agg(F.count("final")).first()
+        discard(older)
     discard(groups)
     return manifest
 

@@ -54,3 +54,18 @@ def test_least_and_empty(spark, monkeypatch):
     got = {r.page_id: (r.record_type, r.refers_to) for r in W.archive_pages(df, least=5).collect()}
     assert got == {1: ("response", None), 2: ("response", None), 3: ("response", None), 4: ("revisit", 3)}
     assert W.archive_pages(df.limit(0)).collect() == []
+
+
+def test_second_write_replaces_the_first(spark, tmp_path):
+    folder = str(tmp_path / "again")
+    rows = lambda ids: spark.createDataFrame([(i, f"http://a/{i}", f"page {i} " * 50) for i in ids], "page_id long, url string, html string")
+    ids = lambda: sorted(r.page_id for r in W.read_warc(spark, folder).collect())
+    W.write_warc(rows(range(30)), folder, roll=300)
+    assert ids() == list(range(30))
+    before = len(glob.glob(folder + "/*.warc.gz"))
+    manifest = W.write_warc(rows(range(100, 103)), folder, roll=300).collect()
+    assert ids() == [100, 101, 102] and sum(m.records for m in manifest) == 3
+    assert sorted(m.final for m in manifest) == sorted(f.split("/")[-1] for f in glob.glob(folder + "/*.warc.gz"))
+    assert before > len(manifest) and not glob.glob(folder + "/.part-*")
+    W.write_warc(rows([]), folder)
+    assert ids() == []
