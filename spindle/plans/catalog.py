@@ -6,6 +6,7 @@ as text) so that its result can be compared with the DuckDB oracle in ``oracle.p
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +22,7 @@ from spindle.operators.scoring import model_scorer, model_topics, term_topics
 from spindle.operators.validate import normalize, validate
 from spindle.plans.common import r6, size_or_null, ts_text, valid_backlog, validated_backlog
 from spindle.schemas import REQUEST_JSON, SOURCE_COLUMNS
+from spindle.session import shared_path
 from spindle.sources.backlog import backlog_scan, eligible, ensure_status
 from spindle.sources.fixtures import doc_feed
 
@@ -269,6 +271,7 @@ def q_label_scores_model(spark, sf_dir):
 
 # ---------------------------------------------------------------- topics
 
+from spindle.operators import topic_model as tm  # noqa: E402
 from spindle.operators import topics as tp  # noqa: E402
 
 
@@ -377,8 +380,29 @@ def q_topic_fit(spark, sf_dir):
     return model.transform(feats).select("vec_id", F.col("topic_id").cast("int").alias("topic_id"))
 
 
+@register("topic_model_roundtrip")
+def q_topic_model_roundtrip(spark, sf_dir):
+    """UDF-7/SRC-3: a guided model with terms and names from the documents of its vectors, stored under
+    a version and loaded; topic and name of every vector, and whether the fitted model gives the same."""
+    emb = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    fitted = tm.fit_model(tp.seeded_centroids(emb, "embedding", "label"), emb, "vec_id", "embedding", docs, "doc_id", "text")
+    root = shared_path(spark, "spindle-models", uuid.uuid4().hex)
+    tm.save_model(fitted, root, "v1")
+    loaded = tm.load_model(spark, root)
+    assigned = tp.with_topic_details(loaded.assign(emb, ["vec_id"], "embedding"), loaded.catalog)
+    before = fitted.assign(emb, ["vec_id"], "embedding").select("vec_id", F.col("topic_id").alias("_t"), F.col("probability").alias("_p"))
+    t = F.col("topic")
+    same = t["id"].eqNullSafe(F.col("_t")) & t["probability"].eqNullSafe(F.col("_p"))
+    return assigned.join(before, "vec_id").select(
+        "vec_id", t["id"].alias("topic_id"), t["name"].alias("topic_name"), F.size(t["keywords"]).alias("n_terms"),
+        r6(F.get(t["keywords"], 0)["weight"]).alias("first_weight"), r6(t["probability"]).alias("probability"), same.cast("int").alias("same"),
+    )
+
+
 # ---------------------------------------------------------------- enrichment and results
 
+from spindle.plans import requests as rq  # noqa: E402
 from spindle.plans.common import enriched_backlog, fixture_models  # noqa: E402
 from spindle.sinks import ledger as lg  # noqa: E402
 from spindle.sinks import results as rs  # noqa: E402
@@ -450,6 +474,38 @@ def _picky_topics():
     return predict
 
 
+@register("request_enrich")
+def q_request_enrich(spark, sf_dir):
+    """SRC-2 on request: every document as a line of JSON, some damaged, of another form, without a key
+    or an id; the results as stored and the rejects as quarantined."""
+    feed = normalize(doc_feed(spark, sf_dir)).withColumn("_d", F.col("id"))
+    at = lambda n, r: F.col("_d") % n == r
+    fields = F.struct(
+        F.when(at(43, 10), F.concat(F.lit("x"), F.col("id").cast("string"))).when(~at(5, 0), F.col("id").cast("string")).alias("id"),
+        F.when(~at(41, 9), F.col("raw_mongo_id")).alias("raw_mongo_id"),
+        "source", "original_timestamp", "retrieved_by_keyword", "keyword_language", "keyword_concept_id", "detected_language", "cleaned_text",
+        F.when(at(37, 8), F.array(F.lit(1).cast("variant"))).otherwise(F.transform("tokens", lambda x: x.cast("variant"))).alias("tokens_processed"),
+        "lemmas", "original_url",
+    )
+    body = F.to_json(fields)
+    line = F.when(at(29, 4), F.substring(body, 1, 60)).when(at(31, 6), F.concat(F.lit("["), F.col("_d").cast("string"), F.lit("]"))).otherwise(body)
+    path = shared_path(spark, "spindle-requests", uuid.uuid4().hex)
+    feed.select(line.alias("value")).write.text(f"{path}/lines")
+    rq.analyse_requests(spark, rq.request_lines(spark, f"{path}/lines"), 1, fixture_models(spark, sf_dir), f"{path}/results", f"{path}/rejects")
+    stored = rs.read_results(spark, f"{path}/results")
+    none = F.lit(None).cast("string")
+    good = stored.select(
+        F.lit("stored").alias("outcome"), "raw_mongo_id", "source_id", none.alias("reasons"),
+        F.size("extracted_keywords_frequency").alias("n_keywords"), F.get("assigned_topics", 0)["id"].alias("topic_id"), F.lit(1).cast("long").alias("n_lines"),
+    )
+    bad = rq.read_quarantine(spark, f"{path}/rejects").groupBy(F.array_join("reasons", "; ").alias("reasons")).agg(F.count(F.lit(1)).alias("n_lines"))
+    bad = bad.select(
+        F.lit("rejected").alias("outcome"), none.alias("raw_mongo_id"), F.lit(None).cast("long").alias("source_id"), "reasons",
+        F.lit(None).cast("int").alias("n_keywords"), F.lit(None).cast("int").alias("topic_id"), "n_lines",
+    )
+    return good.unionByName(bad)
+
+
 @register("analysis_errors")
 def q_analysis_errors(spark, sf_dir):
     """AGG-8: per-document error list: all models, no topic model, plug-ins that fail on some

@@ -283,6 +283,14 @@ select vec_id, form, case form when 'number' then round(probability,6) when 'dis
 from va cross join (values ('number'), ('distribution'), ('none')) f(form)"""
 SQL["topic_centroids"] = f"""with {CENTROIDS} select cast(topic_id as int) topic_id, cast(d - 1 as int) dim, round(m,6) value from cd"""
 
+MODEL_TERMS = "lt as (select doc_id, va.topic_id, text from documents join va on vec_id = doc_id)," + TOPIC_TERMS.split("\n", 2)[2]
+SQL["topic_model_roundtrip"] = f"""with {CENTROIDS},
+{MODEL_TERMS},
+mt as (select topic_id, list(term order by rank) terms, list(weight order by rank) weights from tt group by topic_id)
+select vec_id, va.topic_id, {display_name('va.topic_id', 'cast(null as varchar)', 'coalesce(terms, [])')} topic_name,
+ cast(len(coalesce(terms, [])) as int) n_terms, round(weights[1],6) first_weight, round(probability,6) probability, 1 same
+from va left join mt on va.topic_id = mt.topic_id"""
+
 
 def topic_text(src: str) -> str:
     return TOPIC_TEXT.replace("docs as (select id, cleaned_text from feed)", f"docs as (select id, cleaned_text from {src})")
@@ -367,6 +375,23 @@ res as (select v.*, ks.n_keywords, a.topic_id, a.probability from valid v join k
 restab as (select *, case when original_timestamp < timestamp '2024-02-01 00:00:00' then 'extracted' else 'pending' end
            signal_extraction_status from res)"""
 
+REQUESTS = f"""
+sent as (select *, id % 29 = 4 or id % 31 = 6 damaged, id % 43 = 10 id_bad from norm),
+asked as (select * replace (case when id % 41 <> 9 then raw_mongo_id end as raw_mongo_id,
+    case when id % 37 = 8 then 'reject' when tokens is null then 'null' else 'ok' end as tokens_state,
+    case when lemmas is null then 'null' else 'ok' end as lemmas_state),
+  case when id % 5 <> 0 and not id_bad then id end source_id from sent),
+judged as (select *, case when damaged then ['line is not a request in JSON'] else
+    list_concat({REASONS}, case when id_bad then ['id must be an integer'] else [] end) end reasons from asked),
+valid as (select * from judged where len(reasons) = 0)"""
+
+SQL["request_enrich"] = f"""with {FEED},{NORM},{REQUESTS},{KW},{TOPIC_TERMS},{topic_text('valid')},
+kept as (select * from valid {LATEST_BY_KEY})
+select 'stored' outcome, k.raw_mongo_id, k.source_id, null reasons, cast(ks.n_keywords as int) n_keywords, a.topic_id, cast(1 as bigint) n_lines
+from kept k join kwsum ks using (id) left join assigned a using (id)
+union all
+select 'rejected', null, null, array_to_string(reasons, '; '), null, null, count(*) from judged where len(reasons) > 0 group by reasons"""
+
 SQL["upsert_results"] = f"""{RESTAB},
 newd as (select id, raw_mongo_id from valid where nlp_status = 'pending_nlp_store_verification' {LATEST_BY_KEY})
 select raw_mongo_id, id source_id, cast(1 as bigint) batch_id, signal_extraction_status, cast(n_keywords as int) n_keywords
