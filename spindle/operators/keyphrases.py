@@ -13,7 +13,7 @@ checked.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -24,12 +24,35 @@ from spindle.operators.sizing import sized_broadcast
 SENTENCE_SPLIT = r"[.!?\n]+"
 WORD = r"\p{L}+"
 
+# languages that Spark ships stop words for, by the code a document carries
+STOPWORD_LANGUAGES = {
+    "da": "danish", "de": "german", "en": "english", "es": "spanish", "fi": "finnish", "fr": "french", "hu": "hungarian",
+    "it": "italian", "nl": "dutch", "no": "norwegian", "pt": "portuguese", "ru": "russian", "sv": "swedish", "tr": "turkish",
+}
+
+
+def language_stopwords(spark: SparkSession, extra: DataFrame | None = None, languages: list[str] | None = None) -> DataFrame:
+    """(lang, term): the stop words that Spark ships for each language, and the user's ``extra``
+    (lang, term), which may name any other language.
+
+    The list is a fixed few thousand rows, whatever the corpus: a document's phrases don't
+    depend on the other documents. Entries are taken apart as texts are (lower case, letter runs), so
+    "don't" stops "don" and "t". A language in neither list has no stop words.
+    """
+    from pyspark.ml.feature import StopWordsRemover
+
+    codes = STOPWORD_LANGUAGES if languages is None else {c: STOPWORD_LANGUAGES[c] for c in languages}
+    shipped = [(code, w) for code, name in codes.items() for w in StopWordsRemover.loadDefaultStopWords(name)]
+    rows = spark.createDataFrame(shipped, "lang string, entry string")
+    if extra is not None:
+        rows = rows.unionByName(extra.select("lang", F.col("term").alias("entry")))
+    return rows.select("lang", F.explode(word_tokens("entry")).alias("term")).distinct()
+
 
 def corpus_stopwords(docs: DataFrame, text_col: str, lang_col: str, per_lang: int = 50) -> DataFrame:
     """(lang, term): the ``per_lang`` most frequent terms of each language (count desc, term asc).
 
-    A corpus-derived stop list; a fixed list (e.g. ``StopWordsRemover.loadDefaultStopWords``)
-    can be passed to :func:`keyphrase_candidates` instead.
+    A corpus-derived stop list for languages without a fixed one (:func:`language_stopwords`).
     """
     toks = docs.select(keyword_language(F.col(lang_col)).alias("lang"), F.explode(word_tokens(F.col(text_col))).alias("term"))
     counts = toks.groupBy("lang", "term").agg(F.count(F.lit(1)).alias("n"))

@@ -764,3 +764,22 @@ def q_keyphrases(spark, sf_dir):
     """UDF-5: top 10 keyphrases per document after greedy de-duplication (similarity > 0.9)."""
     k = kp.dedup_keyphrases(_keyphrase_candidates(spark, sf_dir), "doc_id", top=10, limit=0.9)
     return k.select("doc_id", "rank", "phrase", r6("score").alias("score"))
+
+
+def _language_candidates(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return kp.keyphrase_candidates(docs, "doc_id", "text", "lang", kp.language_stopwords(spark), max_n=3)
+
+
+@register("keyphrase_scores_language")
+def q_keyphrase_scores_language(spark, sf_dir):
+    """UDF-5 with the stop words of each document's language, before de-duplication."""
+    top = kp.top_candidates(_language_candidates(spark, sf_dir), "doc_id", top=10)
+    return top.select("doc_id", F.col("rank").cast("int").alias("rank"), "phrase", "n", "tf", r6("score").alias("score"))
+
+
+@register("keyphrases_language")
+def q_keyphrases_language(spark, sf_dir):
+    """UDF-5: top 10 keyphrases per document by the stop words of its language, after de-duplication."""
+    k = kp.dedup_keyphrases(_language_candidates(spark, sf_dir), "doc_id", top=10, limit=0.9)
+    return k.select("doc_id", "rank", "phrase", r6("score").alias("score"))

@@ -5,6 +5,11 @@ The CTE fragments mirror the Spark plans step by step; the tables are the pre-re
 
 from __future__ import annotations
 
+import zipfile
+from pathlib import Path
+
+import pyspark
+
 FEED = r"""
 feed as (
 select cast(doc_id as bigint) id,
@@ -495,3 +500,40 @@ kc as (select doc_id, array_to_string(terms, ' ') phrase, cast(len(terms) as int
 kr as (select *, cast(row_number() over (partition by doc_id order by round(score, 10), phrase) as int) rank from kc)"""
 
 SQL["keyphrase_scores"] = f"with {KEYPHRASES} select doc_id, rank, phrase, n, tf, round(score, 6) score from kr where rank <= 10"
+
+# DuckDB's edit distance counts bytes: letters beyond ASCII become capitals, which a phrase has not
+FOLD = "translate({c}, 'ßàáâäçèéêëìíîïñòóôöùúûü', 'ABCDEFGHIJKLMNOPQRSTUVW')"
+
+DEDUP = f"""
+kl as (select doc_id, list([{{'p': phrase, 'f': {FOLD.format(c='phrase')}, 's': score}}] order by round(score, 10), phrase) c from kc group by doc_id),
+kk as (select doc_id, list_reduce(c, lambda acc, x: case when len(acc) < 10 and not coalesce(list_bool_or(list_transform(acc,
+   lambda k: 1.0 - cast(levenshtein(k.f, x[1].f) as double) / greatest(length(k.f), length(x[1].f)) > 0.9)), false)
+   then list_concat(acc, x) else acc end, []) kept from kl),
+kd2 as (select doc_id, unnest(kept) k, generate_subscripts(kept, 1) rank from kk)"""
+
+KEPT = "select doc_id, cast(rank as int) rank, k.p phrase, round(k.s, 6) score from kd2"
+
+SQL["keyphrases"] = f"with {KEYPHRASES},{DEDUP} {KEPT}"
+
+
+def shipped_stopwords() -> dict[str, list[str]] | None:
+    """The lists of the languages in the tables, read from Spark's own archive; None without it."""
+    names = {"de": "german", "en": "english", "es": "spanish", "fr": "french"}
+    for jar in Path(pyspark.__path__[0]).glob("jars/spark-mllib_*.jar"):
+        with zipfile.ZipFile(jar) as z:
+            return {c: z.read(f"org/apache/spark/ml/feature/stopwords/{n}.txt").decode().split() for c, n in names.items()}
+    return None
+
+
+def language_keyphrases(words: dict[str, list[str]]) -> str:
+    rows = ",".join(f"('{c}', '{w.replace(chr(39), chr(39) * 2)}')" for c, ws in words.items() for w in ws)
+    stops = f"stops as (select distinct lang, unnest(regexp_extract_all(lower(w), '\\p{{L}}+')) term from (values {rows}) v(lang, w)),"
+    head, rest = KEYPHRASES.split("stops as (", 1)
+    return head + stops + "\nks as (" + rest.split("\nks as (", 1)[1]
+
+
+if words := shipped_stopwords():
+    SQL["keyphrase_scores_language"] = (
+        f"with {language_keyphrases(words)} select doc_id, rank, phrase, n, tf, round(score, 6) score from kr where rank <= 10"
+    )
+    SQL["keyphrases_language"] = f"with {language_keyphrases(words)},{DEDUP} {KEPT}"
