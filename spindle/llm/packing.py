@@ -370,7 +370,8 @@ def token_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text: str =
         values = pa.StructArray.from_arrays([pa.array([p[j] for p in flat], t.type) for j, t in enumerate(PIECE)], fields=list(PIECE))
         return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), values)
 
-    cutted = docs.select(F.col(id_col).alias("__id"), cut(F.col(text).cast("binary")).alias("__pieces"))
+    # marked non-deterministic, or the optimiser's filter on the generator's input tokenizes every text once more
+    cutted = docs.select(F.col(id_col).alias("__id"), cut.asNondeterministic()(F.col(text).cast("binary")).alias("__pieces"))
     return cutted.select(F.col("__id").alias(id_col), F.inline("__pieces"))
 
 

@@ -148,3 +148,9 @@ def test_part_cache_forgets_and_tells_parts_of_one_hash_apart(monkeypatch):
     assert c.find(np.array([5], np.uint64), buf, 2 * one, 2 * one)[1].tolist() == [False]  # "ba", of the same hash
     c.add(0 * one, np.array([5], np.uint64), buf, 2 * one, 2 * one, np.array([7, 8, 9], np.uint32), 2 * one, one)
     assert len(c.key) == 1
+
+
+def test_texts_are_tokenized_once(spark):
+    docs = spark.createDataFrame([(1, "some words")], "doc_id long, text string")
+    plan = P.token_pieces(docs, PATH)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
