@@ -5,9 +5,8 @@ with no stop word at either end -> candidate score (lower is better) -> top N, t
 de-duplication by string similarity. Features follow the published method (Campos et al.,
 2020): casing, position, frequency, relatedness to context, spread over sentences.
 
-Every step is keyed by the document; sentence splitting and n-gram generation happen inside
-a row, the term and candidate statistics are hash aggregations with map-side partial
-results. Stop words come from a (language, term) table that is broadcast after its size is
+Every step is keyed by the document, whose words are dealt out once; term and document statistics
+are windows over these words, candidates a hash aggregation in the same part. Stop words come from a (language, term) table that is broadcast after its size is
 checked.
 """
 
@@ -17,12 +16,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spindle.functions.ranking import inline_indexed, inline_values
+from spindle.functions.ranking import inline_indexed
 from spindle.functions.text import keyword_language, word_tokens
 from spindle.operators.sizing import sized_broadcast
 
 SENTENCE_SPLIT = r"[.!?\n]+"
 WORD = r"\p{L}+"
+PART_BYTES = 4 << 20  # of text in a part; its words, with their statistics, take about thirty times as much
 
 # languages that Spark ships stop words for, by the code a document carries
 STOPWORD_LANGUAGES = {
@@ -60,11 +60,17 @@ def corpus_stopwords(docs: DataFrame, text_col: str, lang_col: str, per_lang: in
     return counts.withColumn("r", F.row_number().over(w)).where(F.col("r") <= per_lang).select("lang", "term")
 
 
-def _sentences(docs: DataFrame, key: str, text_col: str, lang_col: str) -> DataFrame:
+def text_parts(docs: DataFrame, text_col: str) -> int:
+    """Parts of ``PART_BYTES`` of text each, at least as many as the session's shuffle partitions."""
+    total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_BYTES))
+
+
+def _sentences(docs: DataFrame, key: str, text_col: str, lang_col: str, *keep: str) -> DataFrame:
     s = docs.select(
-        key, keyword_language(F.col(lang_col)).alias("lang"), F.posexplode(F.split(F.col(text_col), SENTENCE_SPLIT)).alias("s_idx", "sentence")
+        key, *keep, keyword_language(F.col(lang_col)).alias("lang"), F.posexplode(F.split(F.col(text_col), SENTENCE_SPLIT)).alias("s_idx", "sentence")
     )
-    s = s.select(key, "lang", "s_idx", F.regexp_extract_all("sentence", F.lit(WORD), 0).alias("words"))
+    s = s.select(key, *keep, "lang", "s_idx", F.regexp_extract_all("sentence", F.lit(WORD), 0).alias("words"))
     return s.where(F.size("words") > 0)
 
 
@@ -76,40 +82,53 @@ def keyphrase_candidates(
     stopwords: DataFrame,
     max_n: int = 3,
 ) -> DataFrame:
-    """(key, phrase, n, tf, score) for every candidate of every document; lower score = better."""
+    """(key, phrase, n, tf, score) for every candidate of every document; lower score = better.
+
+    The texts cross the network once, dealt out by the document's key into as many parts as hold
+    ``PART_BYTES`` of text each; all that follows is keyed by the document, stays in its part and fits
+    in a task's memory. Statistics are attached to the words by windows, not joined to them.
+    """
     stops, _ = sized_broadcast(stopwords.select("lang", "term").distinct(), 1_000_000)
-    stop_flag = stops.withColumn("is_stop", F.lit(True))
-    # one exchange deals out the documents; groupings that hold the document's key need no other
-    sents = _sentences(docs.select(key, text_col, lang_col).repartition(key), key, text_col, lang_col)
-    n_sent = sents.groupBy(key).agg(F.count(F.lit(1)).alias("n_sent"))
+    texts = docs.select(key, text_col, lang_col).where(F.col(key).isNotNull())
+    texts = texts.repartition(text_parts(texts, text_col), key).withColumn("_d", F.monotonically_increasing_id())
+    sents = _sentences(texts, key, text_col, lang_col, "_d")
 
     # words with their neighbours, built from shifted copies of the sentence's word array
     size = F.size("words")
     left = F.concat(F.array(F.lit(None).cast("string")), F.slice("words", 1, F.greatest(size - 1, F.lit(0))))
     right = F.concat(F.slice("words", 2, F.greatest(size, F.lit(1))), F.array(F.lit(None).cast("string")))
-    tok = sents.select(key, "lang", "s_idx", F.posexplode(F.arrays_zip(F.col("words").alias("w"), left.alias("l"), right.alias("r"))).alias("w_idx", "z"))
+    tok = sents.select(key, "_d", "lang", "s_idx", F.posexplode(F.arrays_zip(F.col("words").alias("w"), left.alias("l"), right.alias("r"))).alias("w_idx", "z"))
+    word = F.col("z.w")
+    is_upper = (F.length(word) > 1) & word.rlike(r"^\p{Lu}+$")
     tok = tok.select(
-        key, "lang", "s_idx", "w_idx", F.col("z.w").alias("word"), F.lower("z.w").alias("term"),
-        F.lower("z.l").alias("left"), F.lower("z.r").alias("right"),
+        key, "_d", "lang", "s_idx", "w_idx", F.lower(word).alias("term"), F.lower("z.l").alias("left"), F.lower("z.r").alias("right"),
+        is_upper.alias("is_upper"), (~is_upper & (F.col("w_idx") > 0) & word.rlike(r"^\p{Lu}")).alias("is_cap"),
     )
-    is_upper = (F.length("word") > 1) & F.col("word").rlike(r"^\p{Lu}+$")
-    is_cap = ~is_upper & (F.col("w_idx") > 0) & F.col("word").rlike(r"^\p{Lu}")
-    terms = tok.groupBy(key, "lang", "term").agg(
-        F.count(F.lit(1)).alias("tf"),
-        F.count_if(is_cap).alias("tf_cap"),
-        F.count_if(is_upper).alias("tf_upper"),
-        F.percentile(F.col("s_idx").cast("double"), 0.5).alias("med"),
-        F.size(F.collect_set("s_idx")).alias("sent_tf"),
-        F.size(F.collect_set("left")).alias("dl_n"),
-        F.count("left").alias("dl_d"),
-        F.size(F.collect_set("right")).alias("dr_n"),
-        F.count("right").alias("dr_d"),
+    tok = tok.join(stops.withColumn("is_stop", F.lit(True)), ["lang", "term"], "left").withColumn("is_stop", F.coalesce("is_stop", F.lit(False)))
+
+    # one sort by (key, term, lang) serves the three windows: a term, a document, a term of any language
+    per_term, per_doc, per_word = Window.partitionBy(key, "term", "lang"), Window.partitionBy(key), Window.partitionBy(key, "term")
+    in_term = {
+        "tf": F.count(F.lit(1)),
+        "tf_cap": F.count_if("is_cap"),
+        "tf_upper": F.count_if("is_upper"),
+        "med": F.percentile(F.col("s_idx").cast("double"), 0.5),
+        "sent_tf": F.size(F.collect_set("s_idx").over(per_term)),
+        "dl_n": F.size(F.collect_set("left").over(per_term)),
+        "dl_d": F.count("left"),
+        "dr_n": F.size(F.collect_set("right").over(per_term)),
+        "dr_d": F.count("right"),
+    }
+    tok = tok.select(
+        key, "_d", "lang", "s_idx", "w_idx", "term", "is_stop",
+        *[(c if n in ("sent_tf", "dl_n", "dr_n") else c.over(per_term)).alias(n) for n, c in in_term.items()],
+        (F.struct("_d", "s_idx", "w_idx") == F.min(F.struct("_d", "s_idx", "w_idx")).over(per_term)).alias("_first"),
     )
-    terms = terms.join(stop_flag, ["lang", "term"], "left").withColumn("is_stop", F.coalesce("is_stop", F.lit(False)))
-    doc_stats = terms.where(~F.col("is_stop")).groupBy(key).agg(
-        F.avg("tf").alias("mean_tf"), F.stddev_pop("tf").alias("std_tf"), F.max("tf").alias("max_tf")
+    once = F.when(~F.col("is_stop") & F.col("_first"), F.col("tf"))
+    tok = tok.select(
+        "*", F.avg(once).over(per_doc).alias("mean_tf"), F.stddev_pop(once).over(per_doc).alias("std_tf"), F.max(once).over(per_doc).alias("max_tf"),
+        F.count_if(F.col("w_idx") == 0).over(per_doc).alias("n_sent"),
     )
-    t = terms.join(doc_stats, key).join(n_sent, key)
     dl = F.when(F.col("dl_d") > 0, F.col("dl_n") / F.col("dl_d")).otherwise(F.lit(0.0))
     dr = F.when(F.col("dr_d") > 0, F.col("dr_n") / F.col("dr_d")).otherwise(F.lit(0.0))
     rel = 1.0 + (dl + dr) * F.col("tf") / F.col("max_tf")
@@ -117,33 +136,35 @@ def keyphrase_candidates(
     case = F.greatest("tf_cap", "tf_upper") / (1.0 + F.log(F.col("tf")))
     freq = F.col("tf") / (F.col("mean_tf") + F.col("std_tf"))
     sent = F.col("sent_tf") / F.col("n_sent")
-    t = t.select(key, "term", "is_stop", (rel * pos / (case + freq / rel + sent / rel)).alias("s"))
-
-    # 1..max_n-grams inside each sentence (in-row), then drop those with a stop word at an end
-    def gram(n):
-        return lambda i: F.slice("words", i + 1, n)
-
-    grams = [
-        F.when(size >= n, F.transform(F.sequence(F.lit(0), size - n), gram(n))).otherwise(F.array().cast("array<array<string>>"))
-        for n in range(1, max_n + 1)
-    ]
-    cand = sents.select(key, "lang", inline_values(F.concat(*grams), "gram"))
-    cand = cand.select(key, "lang", F.transform("gram", lambda x: F.lower(x)).alias("terms"))
-    cand = cand.select(key, "lang", "terms", F.element_at("terms", 1).alias("first"), F.element_at("terms", -1).alias("last"))
-    first_stop = stops.select("lang", F.col("term").alias("first"), F.lit(1).alias("_fs"))
-    last_stop = stops.select("lang", F.col("term").alias("last"), F.lit(1).alias("_ls"))
-    cand = cand.join(first_stop, ["lang", "first"], "left").join(last_stop, ["lang", "last"], "left")
-    cand = cand.where(F.col("_fs").isNull() & F.col("_ls").isNull())
-    # group by the phrase text (a string key hashes and compares faster than an array key);
-    # words are letter runs, so splitting the phrase on a space gives its terms back
-    cand = cand.groupBy(key, F.array_join("terms", " ").alias("phrase")).agg(F.count(F.lit(1)).alias("tf"))
+    score = F.when(~F.col("is_stop") & F.col("_first"), rel * pos / (case + freq / rel + sent / rel))
+    tok = tok.select(key, "_d", "s_idx", "w_idx", "term", "is_stop", score.alias("s"))
+    tok = tok.select(
+        key, "_d", "s_idx", "w_idx", "term", "is_stop",
+        F.coalesce(F.sum("s").over(per_word), F.lit(0.0)).alias("s"),
+        F.coalesce(F.sum(F.when(F.col("s").isNotNull(), F.log(F.greatest("s", F.lit(1e-300))))).over(per_word), F.lit(0.0)).alias("log_s"),
+    )
 
-    # candidate score from the scores of its non-stop terms
-    ct = cand.select(key, "phrase", "tf", inline_values(F.split("phrase", " "), "term"))
-    ct = ct.join(t, [key, "term"]).where(~F.col("is_stop"))
-    scored = ct.groupBy(key, "phrase", "tf").agg(
-        F.sum(F.log(F.greatest(F.col("s"), F.lit(1e-300)))).alias("log_prod"), F.sum("s").alias("sum_s")
+    # 1..max_n-grams inside each sentence from a word and those after it; no stop word at either end
+    in_sentence = Window.partitionBy(key, "_d", "s_idx").orderBy("w_idx")
+    nth = F.struct("term", "is_stop", "s", "log_s")
+    gram = [f"_g{i}" for i in range(max_n)]
+    cand = tok.select(key, "is_stop", nth.alias(gram[0]), *[F.lead(nth, i).over(in_sentence).alias(gram[i]) for i in range(1, max_n)])
+    cand = cand.where(~F.col("is_stop"))
+
+    def phrase(n):
+        at = [F.col(g) for g in gram[:n]]
+        whole = F.struct(
+            F.concat_ws(" ", *[g["term"] for g in at]).alias("phrase"), sum((g["log_s"] for g in at[1:]), at[0]["log_s"]).alias("log_prod"),
+            sum((g["s"] for g in at[1:]), at[0]["s"]).alias("sum_s"),
+        )
+        return F.when(at[-1].isNotNull() & ~at[-1]["is_stop"], whole)
+
+    phrases = F.filter(F.array(*[phrase(n) for n in range(1, max_n + 1)]), lambda x: x.isNotNull())
+    # the sums of a phrase are the same wherever it stands in a document
+    scored = cand.select(key, F.inline(phrases)).groupBy(key, "phrase").agg(
+        F.count(F.lit(1)).alias("tf"), F.first("log_prod").alias("log_prod"), F.first("sum_s").alias("sum_s")
     )
+    # words are letter runs, so splitting the phrase on a space gives its terms back
     return scored.select(
         key,
         "phrase",
