@@ -511,10 +511,11 @@ def q_analysis_errors(spark, sf_dir):
     """AGG-8: per-document error list: all models, no topic model, plug-ins that fail on some
     texts, and neither a scorer nor the topic model's encoder."""
     m = fixture_models(spark, sf_dir)
-    docs = valid_backlog(spark, sf_dir)
+    # parsed and validated once for the four variants
+    docs = validated_backlog(spark, sf_dir).select(*ANALYSED_COLUMNS, "is_valid").checkpoint(eager=True).where("is_valid")
     variants = {
-        "full": enriched_backlog(spark, sf_dir),
-        "no_topic_model": enriched_backlog(spark, sf_dir, with_topics=False),
+        "full": enrich(docs, m),
+        "no_topic_model": enrich(docs, Models(m.lexicon, None, None, m.labels, m.lexicon_rows_bound)),
         "failing_texts": enrich_with(docs, model_scorer(_picky_scorer, "picky"), model_topics(_picky_topics, "picky-topics"), m.catalog),
         "nothing_loaded": enrich_with(docs, None, None, m.catalog),
     }
