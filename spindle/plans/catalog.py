@@ -567,11 +567,10 @@ def _results_fixture(spark, sf_dir, enriched=None):
 def q_upsert_results(spark, sf_dir):
     """SNK-1/JN-1: second pass re-sends the rows awaiting store verification; they replace
     their keys (downstream status reset to pending), every other key is kept."""
-    enriched = enriched_backlog(spark, sf_dir)
+    # both passes and the keys of the second read the enrichment: it is computed once
+    enriched = enriched_backlog(spark, sf_dir).checkpoint(eager=True)
     old = _results_fixture(spark, sf_dir, enriched)
-    # the re-sent rows: results of the source rows still awaiting store verification. Taken from
-    # the same enriched frame, so the enrichment's exchange is reused, and since that frame is
-    # already partitioned by id, the semi join only shuffles the id side.
+    # the re-sent rows: results of the source rows still awaiting store verification
     resend_ids = doc_feed(spark, sf_dir).where(F.col("nlp_status") == "pending_nlp_store_verification").select("id")
     new = rs.result_rows(enriched.join(resend_ids, "id", "left_semi"), batch_id=2)
     merged = rs.upsert(old, new)
