@@ -38,7 +38,7 @@ def test_topic_terms_read_the_texts_once(spark):
 
     terms = tp.topic_terms(docs.withColumn("text", seen.asNondeterministic()("text")), top=2).collect()
     assert read.value == 4
-    assert {(r.topic_id, r.term) for r in terms if r.rank == 1} == {(1, "haus"), (2, "casa"), (None, "x")}
+    assert {(r.topic_id, r.term) for r in terms if r.rank == 1} == {(1, "haus"), (2, "casa")}
 
 
 def test_invalid_rows_are_dropped_after_the_checkpoint(spark):
