@@ -8,6 +8,9 @@ the backlog, and a document of the backlog that also came as a request is still
 Edge cases: blank lines are no requests; an id may be absent; requests of one key in one call keep the
 latest; a call without a valid request stores nothing; replaying a call replaces the same keys and the
 same quarantine folder.
+
+The lines are read twice, for the analysis and for the quarantine, and parsed each time: parsed requests
+take many times the lines' bytes. They must be the same both times, as files are.
 """
 
 from __future__ import annotations
@@ -70,24 +73,28 @@ def analyse_requests(
 ) -> RequestOutcome:
     """Analyse the valid requests, upsert their results, and write the others to the quarantine.
 
-    The parsed requests are checkpointed once before the actions on them; a request on which the
-    analysis itself fails is found by halving and quarantined like a damaged one. A failing store is
-    the caller's error, since there is no status from which a retry would start.
+    Only the analysis, a small row for each valid request, is checkpointed before the store. A request
+    on which the analysis itself fails is found by halving and quarantined like a damaged one; the
+    valid requests are checkpointed for that. A failing store is the caller's error, since there is no
+    status from which a retry would start.
     """
     ensure_checkpoint_dir(spark)
-    rows = read_requests(lines).withColumn("_n", F.monotonically_increasing_id()).checkpoint(eager=True)
-    counts = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if("is_valid").alias("ok")).first()
-    broken: dict[int, str] = {}
-    if counts["ok"]:
-        valid = rows.where("is_valid").drop("line")
-        analysed, broken = analyse_apart(valid, "_n", lambda df: analyse(df, models, cfg.top_n_keywords))
-        rs.write_upsert(spark, results_root, rs.result_rows(analysed, batch_id, cfg.model_version), batch_id, new_rows_bound=counts["ok"])
-    rejected = rows.where(~F.col("is_valid") | F.col("_n").isin(list(broken))) if broken else rows.where(~F.col("is_valid"))
-    why = F.when(F.col("is_valid"), F.array(F.lit(FAILED))).otherwise(F.col("reasons"))
-    bad = rejected.select("line", why.alias("reasons"))
+    rows = read_requests(lines).withColumn("_n", F.monotonically_increasing_id())
+    # the filter reads the row number too: it stays above the parse, which it would repeat below it
+    bad = rows.where(~F.col("is_valid") & (F.col("_n") >= 0)).select("line", "reasons")
+    try:
+        analysed = analyse(rows.drop("line", "_n"), models, cfg.top_n_keywords, "is_valid").checkpoint(eager=True)
+    except Exception:
+        valid = rows.where("is_valid").checkpoint(eager=True)
+        analysed, broken = analyse_apart(valid, "_n", lambda df: analyse(df.drop("line"), models, cfg.top_n_keywords))
+        failed = valid.where(F.col("_n").isin(list(broken)))
+        bad = bad.unionByName(failed.select("line", F.array(F.lit(FAILED)).alias("reasons")))
+    stored = analysed.count()
+    if stored:
+        rs.write_upsert(spark, results_root, rs.result_rows(analysed, batch_id, cfg.model_version), batch_id, new_rows_bound=stored)
     bad.write.mode("overwrite").parquet(f"{quarantine_root.rstrip('/')}/batch_id={batch_id}")
-    stored = counts["ok"] - len(broken)
-    return RequestOutcome(batch_id, counts["n"], stored, counts["n"] - stored)
+    rejected = read_quarantine(spark, quarantine_root).where(F.col("batch_id") == batch_id).count()
+    return RequestOutcome(batch_id, stored + rejected, stored, rejected)
 
 
 def read_quarantine(spark: SparkSession, quarantine_root: str) -> DataFrame:
